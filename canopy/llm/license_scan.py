@@ -69,7 +69,7 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None =
         """Containment of a template in a block, whose template words in global order are b; 0 below the threshold."""
         words = sorted(words, key=order.index)
         need = max(1, math.ceil(containment * len(words) - 1e-9))
-        first = F.filter(strings(words[: len(words) - need + 1]), lambda w: F.array_contains(b, w))[0]
+        first = F.get(F.filter(strings(words[: len(words) - need + 1]), lambda w: F.array_contains(b, w)), F.lit(0))
         left = F.least(len(words) - F.array_position(strings(words), first), F.size(b) - F.array_position(b, first))
         hits = F.size(F.array_intersect(b, strings(words)))
         return F.when((F.size(b) >= need) & first.isNotNull() & (left + 1 >= need) & (hits >= need), hits / F.lit(float(len(words)))).otherwise(F.lit(0.0))

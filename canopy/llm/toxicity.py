@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression.
 
-Features are hashed word unigrams, bigrams and skip-grams (one word left out) of the whole lower-cased
-text, each counted once. Per-coordinate rates and L1 sparsity leave few weights, which are broadcast.
+Features are hashed word unigrams (whole, and cut to stems, so that inflected forms share a feature),
+bigrams and skip-grams (one word left out) of the whole lower-cased text, each counted once. Per-coordinate rates and L1 sparsity leave few weights, which are broadcast.
 The model is fitted on a sample of about SAMPLE labelled documents, chosen by a hash of doc_id.
 
 Defined results: null and empty texts score by the bias alone; of several labels of a document the
@@ -18,18 +18,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.shared import BASE, mix, table, word_hashes
+from canopy.llm.shared import BASE, mix, spans_hash, table, word_spans
 
-BITS = 20
+BITS = 21
+STEMS = (4, 5, 6)  #: bytes of a word's start that stand for its inflected forms
 SAMPLE = 12_000  #: bound of the training sample
 ALPHA, BETA, L1, L2, EPOCHS = 0.15, 1.0, 1.2, 1.0, 3
 
 
 def features(text: str | None) -> np.ndarray:
     """Distinct hashed features, ascending; the bias is not among them."""
-    w = word_hashes((text or "").lower().encode(), letters=True)
-    b = np.uint64(BASE)
+    raw, starts, ends = word_spans((text or "").lower().encode(), letters=True)
+    if not len(starts):
+        return np.zeros(0, np.int32)
+    w, b = spans_hash(raw, starts, ends), np.uint64(BASE)
     grams = [w, w[:-1] * b + w[1:], (w[:-2] * b + w[2:]) * b]
+    for n in STEMS:
+        long = ends - starts > n
+        grams.append(spans_hash(raw, starts[long], starts[long] + n) + np.uint64(n))
     return np.unique(mix(np.concatenate(grams)) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
