@@ -2,9 +2,10 @@
 
 Texts with equal shingle sets form one class, kept under its smallest doc_id. Class representatives are
 banded by minima of universal hashes. Each is first verified against the smallest member of a band
-bucket; components of those links leave few buckets that still hold several components, and there every
-pair across components is compared: by signature, then on full sets. Pairs inside one component need no
-comparison, so no link between components is lost and no bucket emits all of its pairs.
+bucket; components of those links leave few buckets that still hold several components. Their members
+meet across components by an exact prefix join over shingles, rarest first, and are verified by signature
+and on full sets. Pairs inside one component need no comparison, so no link between components is lost
+and no bucket emits all of its pairs.
 Components come from alternating large-star and small-star steps.
 
 Defined results: null texts and texts without words have empty sets, are linked with nothing and kept;
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from canopy.llm.shared import durable, mix, table, windows, word_hashes
 
 BANDS = 36
+PIVOTS = 1  #: rounds of comparing the members of a bucket with a random one of them
 MARGIN = 6.0  #: standard errors by which a signature may fall below the threshold
 
 
@@ -105,6 +107,31 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent
     return durable(close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(exact, "a long, b long"))
 
 
+def prefix_pairs(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes (id, c) of different c that can reach the similarity, by an exact prefix join:
+    shingles stand rarest first, and a pair has to share one of the first shingles of its smaller and of
+    its larger set, at places that leave enough of both. What many texts share stands last and joins nothing."""
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = shingles(text, n)
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(s), pa.int64()), pa.array(s.view(np.int64))], ["id", "s"])
+
+    some = docs.select(F.col("doc_id").cast("long"), "text").join(nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    flat = durable(some.mapInArrow(exploded, "id long, s long").distinct())
+    often = flat.groupBy("s").agg(F.count("*").alias("df"))
+    sets = flat.join(often, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("o")).join(nodes, "id").withColumn("n", F.size("o"))
+    first = lambda share: (F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)) + 1).cast("int")
+    side = lambda k, share: F.posexplode(F.transform(F.slice("o", 1, first(share)), lambda x: x["s"])).alias(f"i{k}", "s")
+    sets = durable(sets)
+    x = sets.select(F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), side("x", percent / 100))
+    y = sets.select(F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), side("y", 2 * percent / (100 + percent)))
+    enough = f"least(nx - ix, ny - iy) * {100 + percent} >= {percent} * (nx + ny)"
+    met = x.join(y, "s").where(f"cx <> cy AND (ny < nx OR ny = nx AND y < x) AND 100 * ny >= {percent} * nx AND {enough}")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def connect(links: DataFrame) -> DataFrame:
     """Maps each linked node to the smallest node it reaches: (id, component)."""
     edges = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
@@ -135,12 +162,18 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, rows: int = 5) ->
     links = verified(star, reps, docs, n, percent, BANDS * rows)
 
     found = connect(links)
+    for turn in range(PIVOTS):
+        # Every bucket compares what its pivot's component lacks with the pivot: one pair per member at most.
+        known = durable(members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
+        pivot = known.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "c")).alias("p"))
+        met = known.join(pivot, "key").where("c <> p.c").select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
+        links = links.union(verified(met, reps, docs, n, percent, BANDS * rows))
+        found = connect(links)
+
     known = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    split = known.groupBy("key").agg(F.min(F.struct("id", "c")).alias("lead"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key", F.col("lead.c").alias("main"))
+    split = known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
     open_ = durable(known.join(split, "key"))
-    odd = open_.where("c <> main").select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
-    across = odd.join(open_, "key").where("c <> cx AND (c = main OR id > x)")
-    rest = across.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    rest = prefix_pairs(docs, open_.select("id", "c").distinct(), n, percent)
     found = connect(links.union(verified(rest, reps, docs, n, percent, BANDS * rows)))
 
     # Classes of several rows or with links; every other row is its own component.
