@@ -119,12 +119,12 @@ def prefix_pairs(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(s), pa.int64()), pa.array(s.view(np.int64))], ["id", "s"])
 
     some = docs.select(F.col("doc_id").cast("long"), "text").join(nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    flat = durable(some.mapInArrow(exploded, "id long, s long").distinct())
+    flat = some.mapInArrow(exploded, "id long, s long")
     often = flat.groupBy("s").agg(F.count("*").alias("df"))
-    sets = flat.join(often, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("o")).join(nodes, "id").withColumn("n", F.size("o"))
+    sets = flat.join(often, "s").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("df", "s"))).alias("o")).join(nodes, "id").withColumn("n", F.size("o"))
     first = lambda share: (F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)) + 1).cast("int")
     side = lambda k, share: F.posexplode(F.transform(F.slice("o", 1, first(share)), lambda x: x["s"])).alias(f"i{k}", "s")
-    sets = durable(sets)
+    sets = durable(sets.select("id", "c", "n", F.slice("o", 1, first(percent / 100)).alias("o")))
     x = sets.select(F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), side("x", percent / 100))
     y = sets.select(F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), side("y", 2 * percent / (100 + percent)))
     enough = f"least(nx - ix, ny - iy) * {100 + percent} >= {percent} * (nx + ny)"
