@@ -82,17 +82,16 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent
                 keep = pa.array((x == y).mean(1) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingles(t, n).tobytes() for t in some.column(1).to_pylist()], pa.binary())], ["id", "s"])
-
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, None
         for batch in batches:
             keep = []
             for p, q in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
+                # Pairs come in order of a, whose set serves all of its pairs.
+                if x is None or p.as_py() != last:
+                    last = p.as_py()
+                    x = shingles(last, n)
+                y = shingles(q.as_py(), n)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             keep = pa.array(keep, pa.bool_())
@@ -100,11 +99,9 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent
 
     sig = lambda k: reps.select(F.col("id").alias(k), F.col("sig").alias(f"sig_{k}"))
     close = durable(pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(near, "a long, b long"))
-    ids = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    full = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, s binary")
-    full = durable(full)
-    side = lambda k: full.select(F.col("id").alias(k), F.col("s").alias(f"s_{k}"))
-    return durable(close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(exact, "a long, b long"))
+    # Texts move, not their sets: as long random numbers, sets take several times the room.
+    text = lambda k: docs.select(F.col("doc_id").cast("long").alias(k), F.col("text").alias(f"t_{k}")).join(close.select(k).distinct(), k, "left_semi")
+    return durable(close.join(text("b"), "b").join(text("a"), "a").select("a", "b", "t_a", "t_b").mapInArrow(exact, "a long, b long"))
 
 
 def prefix_pairs(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
