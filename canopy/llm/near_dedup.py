@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.shared import durable, mix, table, windows, word_hashes
+from canopy.llm.shared import durable, erase, mix, table, windows, word_hashes, written
 
 BANDS = 36
 PIVOTS = 1  #: rounds of comparing the members of a bucket with a random one of them
+BROADCAST_IDS = 2_000_000  #: 16 MB of ids, under 100 MB as a hash table
 MARGIN = 6.0  #: standard errors by which a signature may fall below the threshold
 
 
@@ -70,6 +71,14 @@ def sketches(docs: DataFrame, n: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, sig binary, bands array<long>")
 
 
+def some_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the rows whose doc_id is among ``ids``. Up to BROADCAST_IDS of these are broadcast and
+    texts stay where they are; the planner cannot tell, as a checkpoint hides its size. More meet by shuffle."""
+    ids = ids.distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int, hashes: int) -> DataFrame:
     """Pairs (a, b) whose signatures come near and whose full sets reach the similarity."""
     share = percent / 100
@@ -100,7 +109,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent
     sig = lambda k: reps.select(F.col("id").alias(k), F.col("sig").alias(f"sig_{k}"))
     close = durable(pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(near, "a long, b long"))
     # Texts move, not their sets: as long random numbers, sets take several times the room.
-    text = lambda k: docs.select(F.col("doc_id").cast("long").alias(k), F.col("text").alias(f"t_{k}")).join(close.select(k).distinct(), k, "left_semi")
+    text = lambda k: some_of(docs, close.select(F.col(k).alias("doc_id"))).select(F.col("doc_id").alias(k), F.col("text").alias(f"t_{k}"))
     return durable(close.join(text("b"), "b").join(text("a"), "a").select("a", "b", "t_a", "t_b").mapInArrow(exact, "a long, b long"))
 
 
@@ -115,7 +124,7 @@ def prefix_pairs(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> Dat
                 s = shingles(text, n)
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(s), pa.int64()), pa.array(s.view(np.int64))], ["id", "s"])
 
-    some = docs.select(F.col("doc_id").cast("long"), "text").join(nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    some = some_of(docs, nodes.select(F.col("id").alias("doc_id")))
     flat = some.mapInArrow(exploded, "id long, s long")
     often = flat.groupBy("s").agg(F.count("*").alias("df"))
     sets = flat.join(often, "s").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("df", "s"))).alias("o")).join(nodes, "id").withColumn("n", F.size("o"))
@@ -154,23 +163,25 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, rows: int = 5) ->
     reps = durable(classes.select("fp", F.col("r.doc_id").alias("id"), "r.sig", "r.bands"))
     banded = reps.select("id", F.explode("bands").alias("key"))
     full = banded.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").select("key", "lead")
-    members = durable(banded.join(full, "key"))
+    members, kept_at = written(banded.join(full, "key"))
     star = members.where("id <> lead").groupBy("id").agg(F.min("lead").alias("a")).select("a", F.col("id").alias("b"))
     links = verified(star, reps, docs, n, percent, BANDS * rows)
 
     found = connect(links)
     for turn in range(PIVOTS):
         # Every bucket compares what its pivot's component lacks with the pivot: one pair per member at most.
-        known = durable(members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
+        known, known_at = written(members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
         pivot = known.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "c")).alias("p"))
         met = known.join(pivot, "key").where("c <> p.c").select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
         links = links.union(verified(met, reps, docs, n, percent, BANDS * rows))
+        erase(docs.sparkSession, known_at)
         found = connect(links)
 
     known = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     split = known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    open_ = durable(known.join(split, "key"))
-    rest = prefix_pairs(docs, open_.select("id", "c").distinct(), n, percent)
+    nodes = durable(known.join(split, "key").select("id", "c").distinct())
+    erase(docs.sparkSession, kept_at)
+    rest = prefix_pairs(docs, nodes, n, percent)
     found = connect(links.union(verified(rest, reps, docs, n, percent, BANDS * rows)))
 
     # Classes of several rows or with links; every other row is its own component.
