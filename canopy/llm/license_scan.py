@@ -35,6 +35,8 @@ TEMPLATES = {
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+#: Short notices, matched only with all of their words: four of five also stand in notices of other licenses.
+SHORT = [("apache-2.0", "Licensed under the Apache License, Version 2.0."), ("mit", "Released under the MIT license.")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What is neither a word nor the end of a line.
 GAPS = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -54,34 +56,38 @@ def strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
-def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
-    """Adds n_words, n_base, first_word, last_word, base_labels, labels and score to ``docs``."""
+def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, containment: float = CONTAINMENT, short: list[tuple[str, str]] = []) -> DataFrame:
+    """Adds n_words, n_base, first_word, last_word, base_labels, labels and score to ``docs``. The notices
+    ``short`` (label, text) are matched as well, with all of their words."""
     templates = TEMPLATES if templates is None else templates
-    sets = {k: template_words(t) for k, t in sorted(templates.items())}
-    vocabulary = sorted({w for s in sets.values() for w in s})
+    sets = [(k, template_words(t), containment) for k, t in sorted(templates.items())] + [(k, template_words(t), 1.0) for k, t in short]
+    vocabulary = sorted({w for _, s, _ in sets for w in s})
     ready = prepared(docs, text)
     # At most one row per word of the templates comes to the driver.
     found = ready.select(F.explode(F.array_intersect(F.split("_flat", " "), strings(vocabulary))).alias("w")).groupBy("w").count()
     often = {r["w"]: r["count"] for r in found.collect()}
     order = sorted(vocabulary, key=lambda w: (often.get(w, 0), w))
 
-    def one(b: Column, words: list[str]) -> Column:
+    def needed(words: list[str], share: float) -> int:
+        return max(1, math.ceil(share * len(words) - 1e-9))
+
+    def one(b: Column, words: list[str], share: float) -> Column:
         """Containment of a template in a block, whose template words in global order are b; 0 below the threshold."""
         words = sorted(words, key=order.index)
-        need = max(1, math.ceil(containment * len(words) - 1e-9))
+        need = needed(words, share)
         first = F.get(F.filter(strings(words[: len(words) - need + 1]), lambda w: F.array_contains(b, w)), F.lit(0))
         left = F.least(len(words) - F.array_position(strings(words), first), F.size(b) - F.array_position(b, first))
         hits = F.size(F.array_intersect(b, strings(words)))
         return F.when((F.size(b) >= need) & first.isNotNull() & (left + 1 >= need) & (hits >= need), hits / F.lit(float(len(words)))).otherwise(F.lit(0.0))
 
-    def against(words: list[str]):
-        return lambda b: one(b, words)
+    def against(words: list[str], share: float):
+        return lambda b: one(b, words, share)
 
-    prefixes = sorted({w for s in sets.values() for w in sorted(s, key=order.index)[: len(s) - max(1, math.ceil(containment * len(s) - 1e-9)) + 1]})
+    prefixes = sorted({w for _, s, share in sets for w in sorted(s, key=order.index)[: len(s) - needed(s, share) + 1]})
     near = F.arrays_overlap(F.split("_flat", " "), strings(prefixes))
     blocks = F.filter(F.transform(F.split("_lines", "\n"), lambda line: F.array_intersect(strings(order), F.split(line, " "))), lambda b: F.size(b) > 0)
     out = ready.withColumn("_blocks", F.when(near, blocks))
-    out = out.withColumn("_scores", F.when(F.col("_blocks").isNotNull(), F.array(*(F.coalesce(F.array_max(F.transform("_blocks", against(s))), F.lit(0.0)) for s in sets.values()))) if sets else F.lit(None).cast("array<double>"))
+    out = out.withColumn("_scores", F.when(F.col("_blocks").isNotNull(), F.array(*(F.coalesce(F.array_max(F.transform("_blocks", against(s, share))), F.lit(0.0)) for _, s, share in sets))) if sets else F.lit(None).cast("array<double>"))
 
     flat = F.col("_flat")
     count = F.when(flat == "", 0).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "))) + 1).cast("long")
@@ -98,7 +104,7 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None =
         places.append((n.cast("long"), F.when(there, first), F.when(there, last), F.when(there, F.lit(PHRASES[phrase]))))
     n, first, last, label = zip(*places, strict=True)
     base = F.array_compact(F.array(*label))
-    own = F.array_compact(F.array(*(F.when(F.col("_scores")[i] > 0, F.lit(k)) for i, k in enumerate(sets)))) if sets else F.array().cast("array<string>")
+    own = F.array_compact(F.array(*(F.when(F.col("_scores")[i] > 0, F.lit(k)) for i, (k, _, _) in enumerate(sets)))) if sets else F.array().cast("array<string>")
     return out.select(
         *docs.columns, "n_words", F.coalesce(reduce(lambda a, b: a + b, n), F.lit(0)).cast("long").alias("n_base"),
         F.least(*first).alias("first_word"), F.greatest(*last).alias("last_word"),
@@ -112,6 +118,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op3_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan with the short notices as well."""
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"), short=SHORT).drop("text")
+
+
 def sql() -> str:
     """Every line against every template, and every word against every phrase."""
     values = ", ".join(f"('{k}', [{', '.join(repr(w) for w in template_words(t))}])" for k, t in TEMPLATES.items())

@@ -6,6 +6,7 @@ QUERIES = {
     "op1_chat_formatting": chat_format.op1_chat_formatting,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_license_scan": license_scan.op3_license_scan,
+    "op3_license_notices": license_scan.op3_license_notices,
     "op4_language_id": language_id.op4_language_id,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_nearest_neighbours": neighbours.op6_nearest_neighbours,

@@ -48,6 +48,12 @@ def test_license_places(odd):
     assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (7, 3, 0, 4, "cc-by,reserved")
 
 
+def test_short_notices_get_their_labels(spark):
+    texts = ["x y\nLicensed under the Apache License, Version 2.0.\nz", "Released under the MIT license.", "Released under the BSD license.", "Licensed under the GNU License, Version 2.0."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["labels"] for r in license_scan.scan(docs, short=license_scan.SHORT).orderBy("doc_id").collect()] == ["apache-2.0", "mit", "", ""]
+
+
 def brute_measures(text):
     w = WORD.findall(text or "")
     grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
