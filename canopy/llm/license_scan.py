@@ -46,6 +46,10 @@ def template_words(text: str) -> list[str]:
     return sorted(set(re.findall(r"[a-z0-9]+", text.lower())))
 
 
+def n_template_words(text: str) -> int:
+    return len(re.findall(r"[a-z0-9]+", text.lower()))
+
+
 def prepared(docs: DataFrame, text: str) -> DataFrame:
     """Adds _lines (lower case, words parted by spaces, lines by line feeds) and _flat (one space between words)."""
     clean = F.translate(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), GAPS, " "), UPPER, LOWER)
@@ -56,11 +60,13 @@ def strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
-def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, containment: float = CONTAINMENT, short: list[tuple[str, str]] = []) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, containment: float = CONTAINMENT, short: list[tuple[str, str]] = [], wrapped: bool = False) -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels and score to ``docs``. The notices
-    ``short`` (label, text) are matched as well, with all of their words."""
+    ``short`` (label, text) are matched as well, with all of their words. If ``wrapped``, a block is a line with
+    the lines after it, up to the one where these hold as many words as the template."""
     templates = TEMPLATES if templates is None else templates
     sets = [(k, template_words(t), containment) for k, t in sorted(templates.items())] + [(k, template_words(t), 1.0) for k, t in short]
+    lengths = [n_template_words(t) for _, t in sorted(templates.items())] + [n_template_words(t) for _, t in short]
     vocabulary = sorted({w for _, s, _ in sets for w in s})
     ready = prepared(docs, text)
     # At most one row per word of the templates comes to the driver.
@@ -85,9 +91,32 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None =
 
     prefixes = sorted({w for _, s, share in sets for w in sorted(s, key=order.index)[: len(s) - needed(s, share) + 1]})
     near = F.arrays_overlap(F.split("_flat", " "), strings(prefixes))
-    blocks = F.filter(F.transform(F.split("_lines", "\n"), lambda line: F.array_intersect(strings(order), F.split(line, " "))), lambda b: F.size(b) > 0)
-    out = ready.withColumn("_blocks", F.when(near, blocks))
-    out = out.withColumn("_scores", F.when(F.col("_blocks").isNotNull(), F.array(*(F.coalesce(F.array_max(F.transform("_blocks", against(s, share))), F.lit(0.0)) for _, s, share in sets))) if sets else F.lit(None).cast("array<double>"))
+    if wrapped:
+        # Lines without words part no notice. _have: all template words of a text, for the length filter on whole texts.
+        lines = F.transform(F.filter(F.transform(F.split("_lines", "\n"), lambda line: F.trim(line)), lambda line: line != ""), lambda line: F.split(line, " +"))
+        kept = F.transform(lines, lambda w: F.struct(F.size(w).alias("n"), F.array_intersect(strings(order), w).alias("b")))
+        out = ready.withColumn("_blocks", F.when(near, kept)).withColumn("_have", F.when(F.col("_blocks").isNotNull(), F.array_intersect(strings(order), F.split("_flat", " "))))
+
+        def blocks_of(words: list[str], length: int) -> Column:
+            def grown(i: Column) -> Column:
+                # A line after the first holds a word or more, so a block has at most length + 1 lines.
+                start = F.struct((-F.get("_blocks", i)["n"]).cast("int").alias("n"), strings([]).alias("b"))
+                add = lambda a, x: F.when(a["n"] >= length, a).otherwise(F.struct((a["n"] + x["n"]).cast("int").alias("n"), F.concat(a["b"], x["b"]).alias("b")))
+                return F.array_intersect(strings(order), F.aggregate(F.slice("_blocks", i + 1, length + 1), start, add, lambda a: a["b"]))
+
+            starts = F.filter(F.sequence(F.lit(0), F.size("_blocks") - 1), lambda i: F.arrays_overlap(F.get("_blocks", i)["b"], strings(words)))
+            return F.transform(starts, grown)
+
+        def best(words: list[str], share: float, length: int) -> Column:
+            enough = F.size(F.array_intersect("_have", strings(words))) >= needed(words, share)
+            return F.when(enough, F.coalesce(F.array_max(F.transform(blocks_of(words, length), against(words, share))), F.lit(0.0))).otherwise(F.lit(0.0))
+
+        scores = [best(s, share, n) for (_, s, share), n in zip(sets, lengths, strict=True)]
+    else:
+        blocks = F.filter(F.transform(F.split("_lines", "\n"), lambda line: F.array_intersect(strings(order), F.split(line, " "))), lambda b: F.size(b) > 0)
+        out = ready.withColumn("_blocks", F.when(near, blocks))
+        scores = [F.coalesce(F.array_max(F.transform("_blocks", against(s, share))), F.lit(0.0)) for _, s, share in sets]
+    out = out.withColumn("_scores", F.when(F.col("_blocks").isNotNull(), F.array(*scores)) if sets else F.lit(None).cast("array<double>"))
 
     flat = F.col("_flat")
     count = F.when(flat == "", 0).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "))) + 1).cast("long")
@@ -119,8 +148,8 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scan with the short notices as well."""
-    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"), short=SHORT).drop("text")
+    """The scan with the short notices and with notices wrapped over several lines as well."""
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"), short=SHORT, wrapped=True).drop("text")
 
 
 def sql() -> str:
@@ -141,3 +170,28 @@ SELECT d.doc_id, len(any_value(w))::BIGINT AS n_words, count(i) AS n_base, min(i
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE i IS NOT NULL), '') AS base_labels,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(s), 0)::DOUBLE AS score
 FROM d LEFT JOIN u USING (doc_id) GROUP BY d.doc_id"""
+
+
+def notices_sql() -> str:
+    """Every line with the lines after it against every template, and every word against every phrase."""
+    every = [(k, t, CONTAINMENT) for k, t in TEMPLATES.items()] + [(k, t, 1.0) for k, t in SHORT]
+    values = ", ".join(f"({i}, '{k}', [{', '.join(repr(w) for w in template_words(t))}], {n_template_words(t)}, {share})" for i, (k, t, share) in enumerate(every))
+    phrases = ", ".join(f"([{', '.join(repr(w) for w in p.split())}], '{label}')" for p, label in PHRASES.items())
+    word, lower = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+    return f"""
+WITH d AS (SELECT doc_id, {lower} AS t, regexp_extract_all({lower}, '{word}') AS w FROM documents),
+p AS (SELECT * FROM (VALUES {phrases}) AS p(words, label)),
+v AS (SELECT * FROM (VALUES {values}) AS v(k, label, words, length, share)),
+b AS (SELECT doc_id, label, i - 1 AS i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), p
+  WHERE w[i] = words[1] AND w[i:i + len(words) - 1] = words),
+l AS (SELECT doc_id, i, regexp_extract_all(line, '{word}') AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d)),
+c AS (SELECT *, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM l),
+h AS (SELECT DISTINCT doc_id, k, i, upto, upto - len(w) AS before, x FROM (SELECT doc_id, i, upto, w, unnest(list_distinct(w)) AS x FROM c), (SELECT k, unnest(words) AS y FROM v) WHERE x = y),
+s AS (SELECT f.doc_id, f.k, f.i, count(DISTINCT g.x) AS n FROM (SELECT DISTINCT doc_id, k, i, upto FROM h) f JOIN h g ON f.doc_id = g.doc_id AND f.k = g.k AND g.i >= f.i
+  JOIN v ON v.k = f.k WHERE g.i = f.i OR g.before - f.upto < v.length GROUP BY ALL),
+m AS (SELECT doc_id, label, max(n / len(words)) AS s FROM s JOIN v USING (k) WHERE n >= ceil(share * len(words) - 1e-9) GROUP BY ALL),
+u AS (SELECT doc_id, label, i, 1.0::DOUBLE AS s FROM b UNION ALL SELECT doc_id, label, NULL, s FROM m)
+SELECT d.doc_id, len(any_value(w))::BIGINT AS n_words, count(i) AS n_base, min(i)::BIGINT AS first_word, max(i)::BIGINT AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE i IS NOT NULL), '') AS base_labels,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(s), 0)::DOUBLE AS score
+FROM d LEFT JOIN u USING (doc_id) GROUP BY d.doc_id"""

@@ -54,6 +54,27 @@ def test_short_notices_get_their_labels(spark):
     assert [r["labels"] for r in license_scan.scan(docs, short=license_scan.SHORT).orderBy("doc_id").collect()] == ["apache-2.0", "mit", "", ""]
 
 
+def test_wrapped_notices_get_their_labels(spark):
+    fill = lambda t, n: "\n".join("# " + " ".join(t.split()[i : i + n]) + "\n#" for i in range(0, len(t.split()), n))
+    texts = [f"start of a file {fill(t, n)}\nend of it" for _, t in sorted(license_scan.TEMPLATES.items()) for n in (1, 4, 9)]
+    docs = spark.createDataFrame(list(enumerate([*texts, None, ""])), "doc_id long, text string")
+    got = license_scan.scan(docs, short=license_scan.SHORT, wrapped=True)
+    for r in got.where("text <> ''").collect():
+        assert sorted(license_scan.TEMPLATES)[r["doc_id"] // 3] in r["labels"].split(",")
+    db = duckdb.connect()
+    documents = docs.toPandas()  # noqa: F841
+    db.sql("CREATE TABLE documents AS SELECT * FROM documents")
+    got = got.drop("text")
+    assert Counter(map(tuple, got.collect())) == Counter(db.sql(f"SELECT {', '.join(got.columns)} FROM ({license_scan.notices_sql()})").fetchall())
+
+
+def test_notices_against_sql(spark):
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    got = license_scan.op3_license_notices(spark, SF)
+    assert Counter(map(tuple, got.collect())) == Counter(db.sql(f"SELECT {', '.join(got.columns)} FROM ({license_scan.notices_sql()})").fetchall())
+
+
 def brute_measures(text):
     w = WORD.findall(text or "")
     grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
