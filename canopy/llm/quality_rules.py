@@ -21,7 +21,7 @@ from canopy.llm.shared import SPACES, runs, spans_hash, table, windows, word_spa
 
 SYMBOLS = b"#*$%&|<>"
 #: Largest share of word characters inside repeated n-grams, by n-gram length, for a kept text.
-COVERAGE = {5: 0.50, 7: 0.47, 10: 0.45}
+COVERAGE = {5: 0.32, 7: 0.30, 10: 0.22}
 #: Largest share of word characters inside lines equal to an earlier line.
 LINE_COVERAGE = 0.30
 #: Largest number of symbols for each word, of words without a lower-case letter, and of words with "!!".

@@ -89,6 +89,15 @@ def test_quality_measures(spark, odd):
     assert quality_rules.measures(odd).count() == 2 * len(ODD)
 
 
+def test_coverage_alone_rejects(spark):
+    same = [f"w{i}" for i in range(40)]
+    texts = [" ".join([*same, *(f"a{k}_{i}" for i in range(60)), *same, *(f"b{k}_{i}" for i in range(60))]) for k in range(2)] + [" ".join(f"c{i}" for i in range(200))]
+    rows = quality_rules.measures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "measures.*")
+    for r in rows.withColumn("base_failed", quality_rules.base_failed()).withColumn("kept", quality_rules.verdict()).collect():
+        assert not r["base_failed"] and r["dup_line_share"] == 0 and r["n_symbols"] == 0 and r["shouted_share"] == 0
+        assert r["kept"] == (r["doc_id"] == 2) and (r["doc_id"] == 2 or 0.22 < r["cover_10"] < 0.45)
+
+
 def test_language_and_toxicity_accept_odd_rows(odd):
     assert toxicity.score(odd, toxicity.train([(toxicity.features("bad"), 1), (toxicity.features("good"), 0)])).count() == 2 * len(ODD)
 
