@@ -75,6 +75,12 @@ def target_encode(spark, sf):
     return encode.target_encode(c.where("c_custkey % 3 <> 0 AND c_nationkey <> 7"), c.where("c_custkey % 3 = 0"), "c_nationkey", "c_acctbal", "enc").select("c_custkey", F.round("enc", 4).alias("enc"))
 
 
+def target_encode_all(spark, sf):
+    """Every customer by the mean of all customers of its nation."""
+    c = _t(spark, sf, "customer")
+    return encode.target_encode(c, c, "c_nationkey", "c_acctbal", "enc").select("c_custkey", F.round("enc", 4).alias("enc"))
+
+
 def cells(spark, sf):
     f = encode.cells(_t(spark, sf, "lineitem").withColumn("q", F.col("l_quantity")), "q", "l_returnflag", "l_linestatus", "l_linenumber")
     return f.select("l_returnflag", "l_linestatus", "l_linenumber", "n", "sum_y", "sum_yy")
@@ -124,7 +130,7 @@ def prior_trees(spark, sf):
     return sampler.sample_prior(spark, sampler.Design([None, None], [5]), 100)
 
 
-NAMES = [score_forest, score_forest_arrow, leaf_statistics, leaf_sizes, parse_forest, variable_counts, standardise, rescale, level_codes, target_encode, cells, model_metrics, summarize_hf5, nation_components, nation_distances, induced_edges, fit_balance, prior_trees]
+NAMES = [score_forest, score_forest_arrow, leaf_statistics, leaf_sizes, parse_forest, variable_counts, standardise, rescale, level_codes, target_encode, target_encode_all, cells, model_metrics, summarize_hf5, nation_components, nation_distances, induced_edges, fit_balance, prior_trees]
 QUERIES = {f.__name__: f for f in NAMES}
 
 _L0 = f"CASE WHEN l_discount < 0.05 THEN 2 WHEN l_discount >= 0.05 THEN CASE WHEN ({FLAGS}) = 0 THEN 6 WHEN ({FLAGS}) IN (1, 2) THEN 7 END END"
@@ -146,6 +152,7 @@ SELECT tree::INT AS tree, count(*) AS num_leafs, count(*) FILTER (WHERE n = 1) A
     "level_codes": "SELECT DISTINCT o_orderpriority AS label, (dense_rank() OVER (ORDER BY o_orderpriority) - 1)::INT AS code FROM orders WHERE o_orderpriority IS NOT NULL",
     "target_encode": """WITH t AS (SELECT * FROM customer WHERE c_custkey % 3 <> 0 AND c_nationkey <> 7), m AS (SELECT c_nationkey, avg(c_acctbal) AS m FROM t GROUP BY 1)
 SELECT c_custkey, round(coalesce(m, (SELECT avg(c_acctbal) FROM t)), 4) AS enc FROM customer LEFT JOIN m USING (c_nationkey) WHERE c_custkey % 3 = 0""",
+    "target_encode_all": "SELECT c_custkey, round(avg(c_acctbal) OVER (PARTITION BY c_nationkey), 4) AS enc FROM customer",
     "cells": "SELECT l_returnflag, l_linestatus, l_linenumber, count(l_quantity) AS n, sum(l_quantity) AS sum_y, sum(l_quantity * l_quantity) AS sum_yy FROM lineitem GROUP BY 1, 2, 3",
     "model_metrics": """SELECT l_returnflag, round(sqrt(avg((l_discount - l_tax) * (l_discount - l_tax))), 8) AS rmse,
   round(avg((l_discount >= l_tax - 0.03 AND l_discount <= l_tax + 0.03)::INT), 8) AS coverage,
