@@ -69,5 +69,5 @@ def split(df: DataFrame, key: str, share: float, seed: int = 1) -> DataFrame:
 
 
 def cells(df: DataFrame, y: str, *columns: str) -> DataFrame:
-    """Sufficient statistics of equal covariate cells: all a Gaussian fit on discrete cutpoints needs."""
-    return df.groupBy(*columns).agg(F.count(y).alias("n"), F.sum(y).alias("sum_y"), F.sum(F.col(y) * F.col(y)).alias("sum_yy"))
+    """Sufficient statistics of equal covariate cells, with the ends of y: all a Gaussian fit on discrete cutpoints needs."""
+    return df.groupBy(*columns).agg(F.count(y).alias("n"), F.sum(y).alias("sum_y"), F.sum(F.col(y) * F.col(y)).alias("sum_yy"), F.min(y).alias("low"), F.max(y).alias("high"))

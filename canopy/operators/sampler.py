@@ -90,9 +90,13 @@ def draw_tree(design: Design, prior: Prior, rng: np.random.Generator) -> Tree:
 
 
 class Chain:
-    """State of one chain: trees, the leaf of every row in every tree, and the residual of the whole fit."""
+    """State of one chain: trees, the leaf of every row in every tree, and the residual of the whole fit.
+    A row may be a cell of ``weight`` rows with mean y, and ``within`` the squares around the means of all cells."""
 
-    def __init__(self, cont: np.ndarray | None, cat: np.ndarray | None, y: np.ndarray, design: Design, prior: Prior, probit: bool, seed: int):
+    def __init__(self, cont: np.ndarray | None, cat: np.ndarray | None, y: np.ndarray, design: Design, prior: Prior, probit: bool, seed: int, weight: np.ndarray | None = None, within: float = 0.0):
+        if probit and weight is not None:
+            raise ValueError("the latent responses of a binary fit are drawn by rows, not cells")
+        self.weight, self.within = np.ones(len(y)) if weight is None else weight.astype(float), within
         self.cont, self.cat, self.y, self.design, self.prior, self.probit = cont, cat, y, design, prior, probit
         if cont is not None and np.isnan(cont).any():
             raise ValueError("continuous predictors hold missing values")
@@ -128,8 +132,9 @@ class Chain:
             rule = draw_rule(tree, nid, self.design, self.theta, rng)
             here = np.flatnonzero(at == nid)
             left = np.isin(self.cat[here, rule.var], list(rule.left)) if rule.is_cat else self.cont[here, rule.var] < rule.cut
-            part = r[here]
-            n, s, nl, sl = len(here), part.sum(), int(left.sum()), part[left].sum()
+            w = self.weight[here]
+            part = w * r[here]
+            n, s, nl, sl = w.sum(), part.sum(), w[left].sum(), part[left].sum()
             depth, ends = nid.bit_length() - 1, tree.prunable()
             after = 1 if stump else len(ends) if nid // 2 in ends else len(ends) + 1
             log_ratio = math.log(0.5) - math.log(after) - (math.log(1.0 if stump else 0.5) - math.log(len(leaves)))
@@ -146,7 +151,8 @@ class Chain:
         ends = tree.prunable()
         nid = ends[int(rng.integers(len(ends)))]
         l, h = at == 2 * nid, at == 2 * nid + 1  # noqa: E741
-        nl, nh, sl, sh = int(l.sum()), int(h.sum()), r[l].sum(), r[h].sum()
+        wl, wh = self.weight[l], self.weight[h]
+        nl, nh, sl, sh = wl.sum(), wh.sum(), (wl * r[l]).sum(), (wh * r[h]).sum()
         depth, leaves = nid.bit_length() - 1, len(tree.leaves)
         log_ratio = math.log(1.0 if nid == 1 else 0.5) - math.log(leaves - 1) - (math.log(0.5) - math.log(len(ends)))
         log_ratio += math.log(1 - prior.grow(depth)) - math.log(prior.grow(depth)) - 2 * math.log(1 - prior.grow(depth + 1))
@@ -172,14 +178,14 @@ class Chain:
             self.move(m, r)
             ids = np.array(sorted(tree.leaves))
             place = np.searchsorted(ids, at)
-            n, s = np.bincount(place, minlength=len(ids)), np.bincount(place, r, len(ids))
+            n, s = np.bincount(place, self.weight, len(ids)), np.bincount(place, self.weight * r, len(ids))
             precision = 1 / prior.tau**2 + n / self.sigma**2
             mu = rng.normal((prior.mu0 / prior.tau**2 + s / self.sigma**2) / precision, precision**-0.5)
             tree.leaves = dict(zip(ids.tolist(), mu.tolist(), strict=True))
             r -= mu[place]
         self.fit = self.target - r
         if not self.probit:
-            self.sigma = math.sqrt((LAMBDA * NU + float(r @ r)) / rng.chisquare(NU + len(r)))
+            self.sigma = math.sqrt((LAMBDA * NU + float(self.weight @ (r * r)) + self.within) / rng.chisquare(NU + self.weight.sum()))
         if prior.sparse:
             self.weights()
 
@@ -196,10 +202,10 @@ class Chain:
             self.u = new
 
 
-def run_chain(pdf: pd.DataFrame, y: str, cont: list[str], cat: list[str], design: Design, prior: Prior, probit: bool, draws: int, burn: int, thin: int, seed: int):
+def run_chain(pdf: pd.DataFrame, y: str, cont: list[str], cat: list[str], design: Design, prior: Prior, probit: bool, draws: int, burn: int, thin: int, seed: int, weight: np.ndarray | None = None, within: float = 0.0):
     """Yields (draw, chain) on kept sweeps."""
     chain = Chain(
-        pdf[cont].to_numpy(float) if cont else None, pdf[cat].to_numpy(int) if cat else None, pdf[y].to_numpy(float), design, prior, probit, seed
+        pdf[cont].to_numpy(float) if cont else None, pdf[cat].to_numpy(int) if cat else None, pdf[y].to_numpy(float), design, prior, probit, seed, weight, within
     )
     for sweep in range(1 + burn + (draws - 1) * thin):
         chain.step()
@@ -207,27 +213,42 @@ def run_chain(pdf: pd.DataFrame, y: str, cont: list[str], cat: list[str], design
             yield (sweep - burn) // thin, chain
 
 
-def fit_chains(frame: DataFrame, y: str, cont: list[str], cat: list[str], design: Design, keys: tuple[str, ...] = ("chain",), probit: bool = False, trees: int = 200, draws: int = 1000, burn: int = 1000, thin: int = 1, sparse: bool = False, seed: int = 1) -> DataFrame:
+def fit_chains(frame: DataFrame, y: str, cont: list[str], cat: list[str], design: Design, keys: tuple[str, ...] = ("chain",), probit: bool = False, trees: int = 200, draws: int = 1000, burn: int = 1000, thin: int = 1, sparse: bool = False, seed: int = 1, cells: bool = False) -> DataFrame:
     """Fits one chain per group of ``keys``; groups run side by side, and each has to fit in a task.
 
     Returns (keys, draw, tree, text, y_mean, y_sd, sigma, counts): the forests as text, from which every
-    other result follows. Responses are standardised within a group unless ``probit``."""
+    other result follows. Responses are standardised within a group unless ``probit``. With ``cells`` a row is a cell of equal
+    predictors, (n, sum_y, sum_yy, low, high) of ``encode.cells``, and the fit is that of all their rows."""
+    if cells and (probit or any(c is None for c in design.cutpoints)):
+        raise ValueError("cells stand for rows in Gaussian fits on discrete cutpoints only")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        weight, within = None, 0.0
+        if cells:
+            pdf = pdf[pdf["n"] > 0]
+            weight, total, squares = (pdf[c].to_numpy(float) for c in ("n", "sum_y", "sum_yy"))
+            pdf = pdf.assign(**{y: total / weight})
         v = pdf[y].to_numpy(float)
         if probit and not np.isin(v, (0, 1)).all():
             raise ValueError("a binary response holds 0 and 1 alone")
-        mean, sd = (0.0, 1.0) if probit else (float(v.mean()), float(v.std(ddof=1)))
+        if cells:
+            mean = float(total.sum() / weight.sum())
+            inner = max(0.0, float((squares - weight * v * v).sum()))
+            sd = math.sqrt((inner + float(weight @ (v - mean) ** 2)) / (weight.sum() - 1))
+            within = inner / sd**2
+        else:
+            mean, sd = (0.0, 1.0) if probit else (float(v.mean()), float(v.std(ddof=1)))
         pdf = pdf.assign(**{y: (v - mean) / sd})
         std = pdf[y].to_numpy()
         prior = Prior(trees=trees, sparse=sparse)
         if probit:
             prior.tau, prior.mu0 = trees**-0.5, NormalDist().inv_cdf(min(max(float(v.mean()), 1e-6), 1 - 1e-6)) / trees
         else:
-            prior.tau = float(std.max() - std.min()) / (4 * trees**0.5)
+            spread = (float(pdf["high"].max()) - float(pdf["low"].min())) / sd if cells else float(std.max() - std.min())
+            prior.tau = spread / (4 * trees**0.5)
         own = seed + int(pd.util.hash_array(np.array(["|".join(map(str, key))], object))[0] % (1 << 31))
         out = []
-        for draw, c in run_chain(pdf, y, cont, cat, design, prior, probit, draws, burn, thin, own):
+        for draw, c in run_chain(pdf, y, cont, cat, design, prior, probit, draws, burn, thin, own, weight, within):
             out += [(*key, draw, m, write_tree(t), mean, sd, c.sigma * sd, c.counts.tolist()) for m, t in enumerate(c.trees)]
         return pd.DataFrame(out, columns=[*keys, "draw", "tree", "text", "y_mean", "y_sd", "sigma", "counts"])
 

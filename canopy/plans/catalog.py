@@ -118,11 +118,11 @@ def induced_edges(spark, sf):
 
 
 def fit_balance(spark, sf):
-    """Two chains of a regression of account balances on nations, with the network of regions."""
+    """Two chains of a regression of all customers' balances on nations, with the network of regions."""
     n = spark.read.parquet(f"{sf}/nation.parquet").orderBy("n_nationkey").collect()  # a fixed table of 25 rows
     edges = [(a["n_nationkey"], b["n_nationkey"]) for a in n for b in n if a["n_nationkey"] < b["n_nationkey"] and a["n_regionkey"] == b["n_regionkey"]]
-    c = _t(spark, sf, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("c_acctbal")).withColumn("chain", F.explode(F.array(F.lit(0), F.lit(1))))
-    fits = sampler.fit_chains(c, "c_acctbal", [], ["c_nationkey"], sampler.Design([], [len(n)], {0: edges}), trees=20, draws=10, burn=20)
+    c = encode.cells(_t(spark, sf, "customer"), "c_acctbal", "c_nationkey").withColumn("chain", F.explode(F.array(F.lit(0), F.lit(1))))
+    fits = sampler.fit_chains(c, "c_acctbal", [], ["c_nationkey"], sampler.Design([], [len(n)], {0: edges}), trees=20, draws=10, burn=20, cells=True)
     return fits.groupBy("chain").agg(F.countDistinct("draw").alias("draws"), F.count("*").alias("trees"), F.avg("sigma").alias("sigma"))
 
 
