@@ -72,10 +72,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stands once per whole repeat taken; one at a source's cut stands whole if at least half is
-    taken. Rows of one doc_id and source are mixed as one. Texts move once, to meet their number of repeats."""
-    sized = durable(docs.select("doc_id", "source", size_of().alias("size")).groupBy("doc_id", "source").agg(F.sum("size").alias("size")))
+    """A row stands once per whole repeat taken; one at a source's cut stands whole if at least half is taken.
+    Every row is a unit of its own, whatever its doc_id; rows equal in all columns are told apart by number and
+    stand for each other. Texts move once, to meet their number of repeats."""
+    flags = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    flags += [c.isNull() for c in flags]
+    keyed = docs.withColumns({"_a": F.xxhash64(*flags), "_b": F.hash(*flags)})
+    groups = durable(keyed.select("_a", "_b", "source", size_of().alias("size")).groupBy("_a", "_b", "source", "size").agg(F.count("*").alias("_n")))
+    units = groups.withColumn("_unit", F.explode(F.sequence(F.lit(1), "_n"))).withColumn("_unit", F.struct("_a", "_b", "_unit"))
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    mixed = mix_sources(sized).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), copies.alias("_copies")).where("_copies > 0")
-    kept = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_d"]) & docs["source"].eqNullSafe(mixed["_s"]))
+    mixed = mix_sources(units, key="_unit").groupBy("_a", "_b").agg(F.sum(copies).cast("int").alias("_copies")).where("_copies > 0")
+    # One of equal rows meets the repeats of all.
+    one = F.row_number().over(Window.partitionBy("_a", "_b").orderBy("_a"))
+    kept = keyed.join(mixed, ["_a", "_b"]).withColumn("_row", one).where("_row = 1")
     return kept.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*docs.columns)

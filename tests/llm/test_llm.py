@@ -113,6 +113,20 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mixing_stage_mixes_rows_not_ids(spark):
+    rows = [(None, "s", f"null {i} " + "w " * (i % 7 + 1)) for i in range(200)] + [(None, "s", "same text of five words")] * 40
+    rows += [(i, "s", f"own {i} x y") for i in range(100)] + [(5, "s", f"one id {i} z") for i in range(60)] + [(i, "t", "a b c d") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sizes = {s: sum(len(t.split()) for _, x, t in rows if x == s) for s in "st"}
+    goal = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, n_rows long")).collect()}
+    got = mixing.mixing_stage(spark, docs, SF).collect()
+    for s in "st":
+        assert abs(sum(len(r["text"].split()) for r in got if r["source"] == s) - goal[s]) <= 6
+    most = Counter(map(tuple, rows))
+    assert all(n <= 2 * most[r] for r, n in Counter(map(tuple, got)).items())
+    assert mixing.mixing_stage(spark, docs.limit(0), SF).count() == 0
+
+
 def test_word_ids_equal_whole_encoding(spark):
     from tokenizers import Tokenizer
 
