@@ -9,10 +9,12 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from canopy.operators.forest import Node, Tree
 from canopy.operators.graph import Edges, coin_split, graph_split
-from canopy.sources.forest_text import write_tree
+from canopy.operators.summary import normal_cdf
+from canopy.sources.forest_text import read_tree, write_tree
 
 #: Fixed values of the noise prior: degrees of freedom, and a tenth of the chi-squared quantile scaled by them.
 NU, LAMBDA = 3.0, 0.19479145805172773
@@ -203,21 +205,21 @@ class Chain:
 
 
 def run_chain(pdf: pd.DataFrame, y: str, cont: list[str], cat: list[str], design: Design, prior: Prior, probit: bool, draws: int, burn: int, thin: int, seed: int, weight: np.ndarray | None = None, within: float = 0.0):
-    """Yields (draw, chain) on kept sweeps."""
+    """Yields (draw, chain) on every sweep; draw is None on those not kept."""
     chain = Chain(
         pdf[cont].to_numpy(float) if cont else None, pdf[cat].to_numpy(int) if cat else None, pdf[y].to_numpy(float), design, prior, probit, seed, weight, within
     )
     for sweep in range(1 + burn + (draws - 1) * thin):
         chain.step()
-        if sweep >= burn and (sweep - burn) % thin == 0:
-            yield (sweep - burn) // thin, chain
+        yield (sweep - burn) // thin if sweep >= burn and (sweep - burn) % thin == 0 else None, chain
 
 
-def fit_chains(frame: DataFrame, y: str, cont: list[str], cat: list[str], design: Design, keys: tuple[str, ...] = ("chain",), probit: bool = False, trees: int = 200, draws: int = 1000, burn: int = 1000, thin: int = 1, sparse: bool = False, seed: int = 1, cells: bool = False) -> DataFrame:
+def fit_chains(frame: DataFrame, y: str, cont: list[str], cat: list[str], design: Design, keys: tuple[str, ...] = ("chain",), probit: bool = False, trees: int = 200, draws: int = 1000, burn: int = 1000, thin: int = 1, sparse: bool = False, seed: int = 1, cells: bool = False, trace: bool = False) -> DataFrame:
     """Fits one chain per group of ``keys``; groups run side by side, and each has to fit in a task.
 
-    Returns (keys, draw, tree, text, y_mean, y_sd, sigma, counts): the forests as text, from which every
-    other result follows. Responses are standardised within a group unless ``probit``. With ``cells`` a row is a cell of equal
+    Returns (keys, draw, tree, text, y_mean, y_sd, sigma, counts): the forests as text, to be applied by
+    ``predict_draws`` and ``predict_probit``. With ``trace`` it returns a row for every sweep of the same chains
+    instead: (keys, sweep, draw, sigma, accepted, theta, counts), draw null on sweeps not kept. Responses are standardised within a group unless ``probit``. With ``cells`` a row is a cell of equal
     predictors, (n, sum_y, sum_yy, low, high) of ``encode.cells``, and the fit is that of all their rows."""
     if cells and (probit or any(c is None for c in design.cutpoints)):
         raise ValueError("cells stand for rows in Gaussian fits on discrete cutpoints only")
@@ -248,14 +250,48 @@ def fit_chains(frame: DataFrame, y: str, cont: list[str], cat: list[str], design
             prior.tau = spread / (4 * trees**0.5)
         own = seed + int(pd.util.hash_array(np.array(["|".join(map(str, key))], object))[0] % (1 << 31))
         out = []
-        for draw, c in run_chain(pdf, y, cont, cat, design, prior, probit, draws, burn, thin, own, weight, within):
+        every = run_chain(pdf, y, cont, cat, design, prior, probit, draws, burn, thin, own, weight, within)
+        if trace:
+            out = [(*key, i, draw, c.sigma * sd, c.accepted, c.theta.tolist(), c.counts.tolist()) for i, (draw, c) in enumerate(every)]
+            return pd.DataFrame(out, columns=[*keys, "sweep", "draw", "sigma", "accepted", "theta", "counts"]).astype({"draw": "Int32"})
+        for draw, c in every:
+            if draw is None:
+                continue
             out += [(*key, draw, m, write_tree(t), mean, sd, c.sigma * sd, c.counts.tolist()) for m, t in enumerate(c.trees)]
         return pd.DataFrame(out, columns=[*keys, "draw", "tree", "text", "y_mean", "y_sd", "sigma", "counts"])
 
     kinds = ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keys)
+    if trace:
+        return frame.groupBy(*keys).applyInPandas(run, f"{kinds}, sweep int, draw int, sigma double, accepted int, theta array<double>, counts array<long>")
     return frame.groupBy(*keys).applyInPandas(run, f"{kinds}, draw int, tree int, text string, y_mean double, y_sd double, sigma double, counts array<long>")
 
 
+def predict_draws(fits: DataFrame, rows: DataFrame, row_id: str, cont: list[str], cat: list[str], keys: tuple[str, ...] = ("chain",)) -> DataFrame:
+    """(row_id, keys, draw, value): every stored draw of ``fit_chains`` applied to every row, on the scale of the
+    response. The forests of all draws come to the driver as text and go to each task."""
+    forests = {}
+    for f in fits.select(*keys, "draw", "tree", "text", "y_mean", "y_sd").collect():
+        forests.setdefault((*(f[k] for k in keys), f["draw"]), (f["y_mean"], f["y_sd"], []))[2].append((f["tree"], f["text"]))
+    stored = rows.sparkSession.sparkContext.broadcast(forests)
+
+    def run(batches):
+        read = [(k, mean, sd, [read_tree(t) for _, t in sorted(texts)]) for k, (mean, sd, texts) in sorted(stored.value.items())]
+        for pdf in batches:
+            x, z, n = pdf[cont].to_numpy(float) if cont else None, pdf[cat].to_numpy(int) if cat else None, len(pdf)
+            for k, mean, sd, trees in read:
+                value = mean + sd * sum((t.evaluate(x, z, n) for t in trees), np.zeros(n))
+                yield pd.DataFrame({row_id: pdf[row_id], **{c: [v] * n for c, v in zip((*keys, "draw"), k, strict=True)}, "value": value})
+
+    kinds = [f"`{row_id}` {rows.schema[row_id].dataType.simpleString()}", *(f"`{k}` {fits.schema[k].dataType.simpleString()}" for k in keys)]
+    return rows.select(row_id, *cont, *cat).mapInPandas(run, f"{', '.join(kinds)}, draw int, value double")
+
+
+def predict_probit(fits: DataFrame, rows: DataFrame, row_id: str, cont: list[str], cat: list[str], keys: tuple[str, ...] = ("chain",)) -> DataFrame:
+    """(row_id, keys, draw, value): the probability of a 1 by every stored draw of a probit fit. Its mean
+    over draws, and that of ``predict_draws``, comes from ``summary.summarize``."""
+    return predict_draws(fits, rows, row_id, cont, cat, keys).withColumn("value", normal_cdf(F.col("value")))
+
+
 def sample_prior(spark, design: Design, trees: int, tau: float | None = None, seed: int = 1) -> DataFrame:
     """(tree, text) of trees from the prior, each drawn from its own seed."""
     prior = Prior(trees=trees, tau=tau or trees**-0.5)

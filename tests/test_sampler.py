@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from canopy.functions import encode
-from canopy.operators import sampler
+from canopy.operators import sampler, summary
 from canopy.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +27,22 @@ def test_cells_fit_as_their_rows(rows):
 def test_registered_fit_has_the_noise_of_balances(spark):
     sd = spark.read.parquet(f"{SF}/customer.parquet").selectExpr("stddev_samp(c_acctbal)").first()[0]
     assert all(0.7 * sd < r["sigma"] < 1.3 * sd for r in catalog.QUERIES["fit_balance"](spark, SF).collect())
+
+
+def test_predictions_from_stored_draws(spark):
+    rng = np.random.default_rng(5)
+    data = [(i, 0, i % 4, float(3 * (i % 4) + 0.1 * rng.normal()), int(i % 4 > 1)) for i in range(120)]
+    df = spark.createDataFrame(data, "id long, chain int, level int, y double, one int")
+    design = sampler.Design([], [4])
+    fits = sampler.fit_chains(df, "y", [], ["level"], design, trees=10, draws=10, burn=40)
+    draws = sampler.predict_draws(fits, df, "id", [], ["level"])
+    assert draws.count() == 120 * 10
+    mean = {r["row_id"]: r["mean"] for r in summary.summarize(draws.withColumnRenamed("id", "row_id")).collect()}
+    assert all(abs(mean[i] - 3 * (i % 4)) < 0.5 for i in mean) and len(mean) == 120
+    probit = sampler.fit_chains(df, "one", [], ["level"], design, probit=True, trees=10, draws=10, burn=40)
+    chance = sampler.predict_probit(probit, df, "id", [], ["level"]).toPandas().groupby("id")["value"].mean()
+    assert chance[[0, 1]].max() < 0.3 and chance[[2, 3]].min() > 0.7
+    trace = sampler.fit_chains(df, "y", [], ["level"], design, trees=10, draws=10, burn=40, trace=True).toPandas()
+    assert len(trace) == 50 and trace["draw"].notna().sum() == 10 and all(abs(sum(t) - 1) < 1e-9 for t in trace["theta"])
+    kept = fits.toPandas().groupby("draw")["sigma"].first()
+    assert np.allclose(trace.dropna(subset="draw").set_index("draw")["sigma"].to_numpy(float), kept)
