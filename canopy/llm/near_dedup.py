@@ -1,16 +1,19 @@
 """MinHash near-duplicates: bands of universal-hash minima, verified, and connected components.
 
-Texts with equal shingle sets form one class, kept under its smallest doc_id. Class representatives are
-banded by minima of universal hashes. Each is first verified against the smallest member of a band
-bucket; components of those links leave few buckets that still hold several components. Their members
-meet across components by an exact prefix join over shingles, rarest first, and are verified by signature
-and on full sets. Pairs inside one component need no comparison, so no link between components is lost
-and no bucket emits all of its pairs.
+Texts with equal shingle sets form one class with a number of its own. Classes are banded by minima of
+universal hashes. Each is first verified against the smallest member of a band bucket; components of those
+links leave few buckets that still hold several components. Their members meet across components by an exact
+prefix join over shingles, rarest first, and are verified by signature and on full sets. Pairs inside one
+component need no comparison, so no link between components is lost and no bucket emits all of its pairs.
 Components come from alternating large-star and small-star steps.
 
+Only texts of classes that share a bucket move: a bitmap of at most MOST_BITS bits of their keys, which is
+broadcast, lets nearly all other texts stay where they are, and joins on the keys settle the rest.
+
 Defined results: null texts and texts without words have empty sets, are linked with nothing and kept;
-texts with fewer words than a shingle are one shingle; rows that share a doc_id are one node; a null
-doc_id is linked with nothing; no rows give no rows; further columns are left out of ``components``.
+texts with fewer words than a shingle are one shingle; rows that share a doc_id are one node, whatever their
+texts; in ``components`` a null doc_id is linked with nothing; repeated rows are one class; very long texts are
+hashed in slices; no rows give no rows; further columns are left out of ``components``.
 """
 
 from __future__ import annotations
@@ -20,20 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.shared import durable, erase, mix, table, windows, word_hashes, written
+from canopy.llm.shared import ASCII_LOWER, as_bytes, byte_rows, durable, erase, mix, quoted, table, windows, word_hashes, written
 
 BANDS = 36
 PIVOTS = 1  #: rounds of comparing the members of a bucket with a random one of them
-BROADCAST_IDS = 2_000_000  #: 16 MB of ids, under 100 MB as a hash table
+MOST_BITS = 1 << 29  #: of the bitmap of keys: 64 MB, however many keys there are
 MARGIN = 6.0  #: standard errors by which a signature may fall below the threshold
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """Distinct hashed shingles, ascending."""
-    words = word_hashes((text or "").encode().lower())
+def shingles(text: str | np.ndarray | None, n: int) -> np.ndarray:
+    """Distinct hashed shingles, ascending, of a text given as itself or as its bytes."""
+    words = word_hashes(ASCII_LOWER[text if isinstance(text, np.ndarray) else as_bytes(text)])
     if not len(words):
         return words
     return np.unique(windows(words, min(n, len(words))) + np.uint64(min(n, len(words))))
@@ -50,92 +53,113 @@ def minima(found: np.ndarray, n_hashes: int) -> np.ndarray:
     return out
 
 
+def text_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """Tells rows apart by document and text."""
+    return F.xxhash64(F.col(doc_id), F.col(doc_id).isNull(), F.col(text))
+
+
 def sketches(docs: DataFrame, n: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, a fingerprint of the set, one byte of each minimum, and a key for each band."""
-    names, kinds = ["doc_id", "n_shingles", "fp", "sig", "bands"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+    """doc_id, key, n_shingles, a fingerprint of the set, one byte of each minimum, and a key for each band."""
+    names, kinds = ["doc_id", "key", "n_shingles", "fp", "sig", "bands"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power = np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, rows + 1, dtype=np.uint64)
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(text, n)
-                if not len(s) or doc_id is None:
-                    out.append((doc_id, len(s), None, None, None))
+            size, print_, sig, bands = [], [], [], []
+            for raw in byte_rows(batch.column(2)):
+                s = shingles(raw, n)
+                size.append(len(s))
+                if not len(s):
+                    for x in (print_, sig, bands):
+                        x.append(None)
                     continue
                 m = minima(s, BANDS * rows)
                 keys = mix((m.reshape(BANDS, rows).astype(np.uint64) * power).sum(1, dtype=np.uint64) + mix(np.arange(BANDS, dtype=np.uint64)))
-                out.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), (m & 0xFF).astype(np.uint8).tobytes(), keys.view(np.int64).tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 5, kinds, strict=True)], names)
+                print_.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                sig.append((m & 0xFF).astype(np.uint8).tobytes())
+                bands.append(keys.view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, k) for c, k in zip((size, print_, sig, bands), kinds[2:], strict=True))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, sig binary, bands array<long>")
+    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, n_shingles long, fp binary, sig binary, bands array<long>")
 
 
-def some_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the rows whose doc_id is among ``ids``. Up to BROADCAST_IDS of these are broadcast and
-    texts stay where they are; the planner cannot tell, as a checkpoint hides its size. More meet by shuffle."""
-    ids = ids.distinct()
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+def among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose ``key``, a hash, is among ``keys`` (key), and a few others: all rows that meet a bitmap with
+    16 bits or more for each of the keys, or of MOST_BITS. The bitmap is broadcast and rows stay where they are."""
+    bits = min(MOST_BITS, max(1 << 15, 1 << (16 * max(1, keys.count()) - 1).bit_length()))
+    # Buckets count from 1 and hold 32768 bits, lowest bit first.
+    bucket = lambda c: F.bitmap_bucket_number(F.pmod(c, F.lit(bits)))
+    bit = lambda c: F.bitmap_bit_position(F.pmod(c, F.lit(bits)))
+    bitmap = keys.groupBy(bucket(F.col("key")).alias("_bucket")).agg(F.bitmap_construct_agg(bit(F.col("key"))).alias("_bits"))
+    at = bit(F.col(key))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(bitmap), bucket(F.col(key)) == F.col("_bucket"))
+    return met.where(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).drop("_bucket", "_bits")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int, hashes: int) -> DataFrame:
+def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, n: int, percent: int, hashes: int) -> DataFrame:
     """Pairs (a, b) whose signatures come near and whose full sets reach the similarity."""
     share = percent / 100
     least = share - MARGIN * (share * (1 - share) / hashes) ** 0.5
+    columns, schema = ["a", "b", "key_a", "key_b"], "a long, b long, key_a long, key_b long"
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (4, 5))
                 keep = pa.array((x == y).mean(1) >= least)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:4]], columns)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, x = None, None
         for batch in batches:
             keep = []
-            for p, q in zip(batch.column(2), batch.column(3), strict=True):
-                # Pairs come in order of a, whose set serves all of its pairs.
-                if x is None or p.as_py() != last:
-                    last = p.as_py()
-                    x = shingles(last, n)
-                y = shingles(q.as_py(), n)
+            for key, p, q in zip(batch.column(2).to_pylist(), byte_rows(batch.column(3)), byte_rows(batch.column(4)), strict=True):
+                # Pairs come in order of key_a, whose set serves all of its pairs.
+                if key != last:
+                    last, x = key, shingles(p, n)
+                y = shingles(q, n)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    sig = lambda k: reps.select(F.col("id").alias(k), F.col("sig").alias(f"sig_{k}"))
-    close = durable(pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(near, "a long, b long"))
+    side = lambda k: reps.select(F.col("id").alias(k), F.col("key").alias(f"key_{k}"), F.col("sig").alias(f"sig_{k}"))
+    close = durable(pairs.join(side("a"), "a").join(side("b"), "b").select(*columns, "sig_a", "sig_b").mapInArrow(near, schema))
     # Texts move, not their sets: as long random numbers, sets take several times the room.
-    text = lambda k: some_of(docs, close.select(F.col(k).alias("doc_id"))).select(F.col("doc_id").alias(k), F.col("text").alias(f"t_{k}"))
-    return durable(close.join(text("b"), "b").join(text("a"), "a").select("a", "b", "t_a", "t_b").mapInArrow(exact, "a long, b long"))
+    text = lambda k: among(texts, "key", close.select(F.col(f"key_{k}").alias("key")).distinct()).select(F.col("key").alias(f"key_{k}"), F.col("text").alias(f"t_{k}"))
+    return durable(close.join(text("b"), "key_b").join(text("a"), "key_a").select("a", "b", "key_a", "t_a", "t_b").mapInArrow(exact, "a long, b long"))
 
 
-def prefix_pairs(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes (id, c) of different c that can reach the similarity, by an exact prefix join:
+def prefix_pairs(texts: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes (id, key, c) of different c that can reach the similarity, by an exact prefix join:
     shingles stand rarest first, and a pair has to share one of the first shingles of its smaller and of
     its larger set, at places that leave enough of both. What many texts share stands last and joins nothing."""
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(text, n)
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(s), pa.int64()), pa.array(s.view(np.int64))], ["id", "s"])
+            for key, raw in zip(batch.column(0).to_pylist(), byte_rows(batch.column(1)), strict=True):
+                s = shingles(raw, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), key, np.int64)), pa.array(s.view(np.int64))], ["key", "s"])
 
-    some = some_of(docs, nodes.select(F.col("id").alias("doc_id")))
-    flat = some.mapInArrow(exploded, "id long, s long")
+    flat = among(texts, "key", nodes.select("key")).select("key", "text").mapInArrow(exploded, "key long, s long")
     often = flat.groupBy("s").agg(F.count("*").alias("df"))
-    sets = flat.join(often, "s").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("df", "s"))).alias("o")).join(nodes, "id").withColumn("n", F.size("o"))
+    sets = flat.join(often, "s").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("o")).join(nodes, "key").withColumn("n", F.size("o"))
     first = lambda share: (F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)) + 1).cast("int")
-    side = lambda k, share: F.posexplode(F.transform(F.slice("o", 1, first(share)), lambda x: x["s"])).alias(f"i{k}", "s")
-    sets = durable(sets.select("id", "c", "n", F.slice("o", 1, first(percent / 100)).alias("o")))
-    x = sets.select(F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), side("x", percent / 100))
-    y = sets.select(F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), side("y", 2 * percent / (100 + percent)))
+    heads = sets.select("id", "c", "n", first(2 * percent / (100 + percent)).alias("short"), F.posexplode(F.transform(F.slice("o", 1, first(percent / 100)), lambda x: x["s"])).alias("i", "s"))
+    # A shingle of one component joins nothing. Of any other, members of its commonest component meet the rest
+    # alone, so a large component is not compared with itself.
+    each = heads.groupBy("s", "c").agg(F.count("*").alias("k"))
+    spread = each.groupBy("s").agg(F.max(F.struct("k", "c"))["c"].alias("common"), F.count("*").alias("k")).where("k > 1").select("s", "common")
+    heads = durable(heads.join(spread, "s"))
+    x = heads.select(*(F.col(c).alias(f"{c}x") for c in ("id", "c", "n", "i", "short")), "s")
+    y = heads.where("c <> common").select(*(F.col(c).alias(f"{c}y") for c in ("id", "c", "n", "i", "short")), "s")
+    # Either may be the larger set; the smaller one has to share a shingle of its shorter prefix.
+    larger = "nx > ny OR nx = ny AND idx > idy"
+    smaller_first = f"CASE WHEN {larger} THEN iy < shorty ELSE ix < shortx END"
     enough = f"least(nx - ix, ny - iy) * {100 + percent} >= {percent} * (nx + ny)"
-    met = x.join(y, "s").where(f"cx <> cy AND (ny < nx OR ny = nx AND y < x) AND 100 * ny >= {percent} * nx AND {enough}")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = x.join(y, "s").where(f"cx <> cy AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny) AND {smaller_first} AND {enough}")
+    return met.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
 
 
 def connect(links: DataFrame) -> DataFrame:
@@ -156,37 +180,60 @@ def connect(links: DataFrame) -> DataFrame:
         before = after
 
 
-def components(docs: DataFrame, n: int = 5, percent: int = 80, rows: int = 5) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
-    made = durable(sketches(docs, n, rows))
-    classes = made.where("fp IS NOT NULL").groupBy("fp").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("r"))
-    reps = durable(classes.select("fp", F.col("r.doc_id").alias("id"), "r.sig", "r.bands"))
-    banded = reps.select("id", F.explode("bands").alias("key"))
-    full = banded.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").select("key", "lead")
-    members, kept_at = written(banded.join(full, "key"))
-    star = members.where("id <> lead").groupBy("id").agg(F.min("lead").alias("a")).select("a", F.col("id").alias("b"))
-    links = verified(star, reps, docs, n, percent, BANDS * rows)
+def linked(docs: DataFrame, n: int, percent: int, rows: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key, n_shingles, id) of ``docs`` (doc_id, text), id being the number of a class of equal sets
+    and null for empty ones; and (id, component) of the classes, component being one of its classes' ids. If
+    ``by_id``, classes that share a doc_id are one component, and rows of a null doc_id link nothing."""
+    spark = docs.sparkSession
+    made, made_at = written(sketches(docs, n, rows))
+    classes = made.where("fp IS NOT NULL" + " AND doc_id IS NOT NULL" * by_id).groupBy("fp").agg(F.min("key").alias("key"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
+    reps = durable(classes.withColumn("id", F.monotonically_increasing_id()))
+    of = durable(made.select("doc_id", "key", "n_shingles", "fp").join(reps.select("fp", "id"), "fp", "left").drop("fp"))
+    erase(spark, made_at)
+    shared = of.where("doc_id IS NOT NULL AND id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z")
+    same = of.join(shared.select("doc_id", "a"), "doc_id").select("a", F.col("id").alias("b")).where("a <> b").distinct()
+    same = durable(same if by_id else same.limit(0))
+
+    banded = reps.select("id", "key", F.explode("bands").alias("band"))
+    full = banded.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").select("band", "lead")
+    members, members_at = written(banded.join(full, "band"))
+    own = docs.select(text_key().alias("key"), "text")
+    texts, texts_at = written(among(own, "key", members.select("key").distinct()).dropDuplicates(["key"]))
+    check = lambda pairs: verified(pairs, reps, texts, n, percent, BANDS * rows)
+    links = same.union(check(members.where("id <> lead").groupBy("id").agg(F.min("lead").alias("a")).select("a", F.col("id").alias("b"))))
 
     found = connect(links)
     for turn in range(PIVOTS):
         # Every bucket compares what its pivot's component lacks with the pivot: one pair per member at most.
-        known, known_at = written(members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
-        pivot = known.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "c")).alias("p"))
-        met = known.join(pivot, "key").where("c <> p.c").select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
-        links = links.union(verified(met, reps, docs, n, percent, BANDS * rows))
-        erase(docs.sparkSession, known_at)
+        known, known_at = written(members.join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c")))
+        pivot = known.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "c")).alias("p"))
+        met = known.join(pivot, "band").where("c <> p.c").select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
+        links = links.union(check(met))
+        erase(spark, known_at)
         found = connect(links)
 
-    known = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    split = known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    nodes = durable(known.join(split, "key").select("id", "c").distinct())
-    erase(docs.sparkSession, kept_at)
-    rest = prefix_pairs(docs, nodes, n, percent)
-    found = connect(links.union(verified(rest, reps, docs, n, percent, BANDS * rows)))
+    known = members.join(found, "id", "left").select("band", "id", "key", F.coalesce("component", "id").alias("c"))
+    split = known.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band")
+    nodes = durable(known.join(split, "band").select("id", "key", "c").distinct())
+    erase(spark, members_at)
+    found = connect(links.union(check(prefix_pairs(texts, nodes, n, percent))))
+    erase(spark, texts_at)
+    return of, reps.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
 
-    # Classes of several rows or with links; every other row is its own component.
-    of = reps.select("fp", F.col("id")).join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
-    return made.select("doc_id", "n_shingles", "fp").join(of, "fp", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+def components(docs: DataFrame, n: int = 5, percent: int = 80, rows: int = 5) -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest doc_id reached, of every row of ``docs`` (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    of, found = linked(docs, n, percent, rows, True)
+    named = of.where("doc_id IS NOT NULL AND id IS NOT NULL").join(found, "id")
+    low = named.groupBy("id", "component").agg(F.min("doc_id").alias("low"))
+    least = low.groupBy("component").agg(F.min("low").alias("component_id"))
+    label = low.join(least, "component").select("id", "component_id")
+    # Rows of a null doc_id are told from others by it; a document without words is alone unless it has other rows.
+    alone = of.where("doc_id IS NOT NULL AND id IS NULL").join(named.groupBy("doc_id").agg(F.min("component").alias("component")).join(least, "component").select("doc_id", "component_id"), "doc_id", "left")
+    out = of.where("doc_id IS NOT NULL AND id IS NOT NULL").join(label, "id").select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(alone.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+    return out.unionByName(of.where("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +242,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of each group with the smallest doc_id stays; repeated rows of it stay once."""
-    found = components(docs.select("doc_id", "text"))
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(stay, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group stays: that of the smallest doc_id, nulls last, and then of the smallest hash of
+    its columns. Repeated rows are one document. Rows without words stay, repeated ones once."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    of, found = linked(named, 5, 80, 5, False)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"].alias("key")
+    stay = of.join(found, "id").groupBy("component").agg(first).select("key").union(of.where("id IS NULL").select("key").distinct())
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    one = docs.groupBy(F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.col("text")).alias("key")).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
+    return one.join(stay, "key", "left_semi").select("row.*")

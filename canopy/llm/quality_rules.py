@@ -4,20 +4,19 @@ Rolling hashes of several n-gram lengths, in numpy, measure which share of a tex
 inside n-grams that occur twice or more and inside repeated lines. Words are runs without ASCII white
 space. Equality is equality of 64-bit hashes.
 
-Defined results: a null or empty text has no words and fails; repeated rows are judged each alone;
-whole texts are read, whatever their length; further columns pass through; no rows give no rows.
+Defined results: a null or empty text has no words and fails; repeated rows are judged each alone, so ties
+do not arise; whole texts are read, whatever their length, in some 30 bytes of memory for each of theirs;
+further columns pass through, whatever their names, and never enter Python; no rows give no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.shared import SPACES, runs, spans_hash, table, windows, word_spans
+from canopy.llm.shared import as_bytes, byte_rows, fresh, quoted, spans_hash, table, windows, word_spans
 
 SYMBOLS = b"#*$%&|<>"
 #: Largest share of word characters inside repeated n-grams, by n-gram length, for a kept text.
@@ -52,16 +51,25 @@ def covered(words: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(step)[:-1] > 0
 
 
-def measure(text: str | None) -> tuple:
-    """The measures of one whole text, in the order of MEASURES."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    raw, starts, ends = word_spans(data)
-    n = len(starts)
+def per_span(mark: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many bytes of each span are marked. Spans ascend and do not meet."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    padded = np.append(mark, False).view(np.uint8)
+    return np.add.reduceat(padded, np.stack((starts, ends), 1).ravel(), dtype=np.int64)[::2]
+
+
+_SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
+
+
+def measure(text: str | np.ndarray | None) -> tuple:
+    """The measures of one whole text, given as itself or as its bytes, in the order of MEASURES."""
+    raw = text if isinstance(text, np.ndarray) else as_bytes(text)
+    starts, ends = word_spans(raw)
+    n, symbols = len(starts), int(_SYMBOL[raw].sum())
     if not n:
-        return (0, 0, len(data) - len(data.translate(None, SYMBOLS)), 0, 0, 0.0, 0.0, *[0.0] * len(COVERAGE))
-    chars = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum((raw & 0xC0) != 0x80, out=chars[1:])  # code points before each byte
-    size = chars[ends] - chars[starts]
+        return (0, 0, symbols, 0, 0, 0.0, 0.0, *[0.0] * len(COVERAGE))
+    size = per_span((raw & 0xC0) != 0x80, starts, ends)  # code points
     total = int(size.sum())
     words = spans_hash(raw, starts, ends)
 
@@ -74,13 +82,11 @@ def measure(text: str | None) -> tuple:
     before = np.concatenate(([0], np.cumsum(size)))
     in_dup = (before[after[real]] - before[first[real]])[dup].sum()
 
-    lower = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum((raw >= 97) & (raw <= 122), out=lower[1:])
-    upper = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum((raw >= 65) & (raw <= 90), out=upper[1:])
-    loud = (lower[ends] == lower[starts]) & (upper[ends] - upper[starts] >= 2)
+    lower = per_span((raw >= 97) & (raw <= 122), starts, ends)
+    upper = per_span((raw >= 65) & (raw <= 90), starts, ends)
+    loud = (lower == 0) & (upper >= 2)
     return (
-        n, total, len(data) - len(data.translate(None, SYMBOLS)), int(dup.sum()), int(covered(words, 3).sum()),
+        n, total, symbols, int(dup.sum()), int(covered(words, 3).sum()),
         float(in_dup / total), float(loud.sum() / n), *(float(size[covered(words, k)].sum() / total) for k in COVERAGE),
     )
 
@@ -98,29 +104,33 @@ def verdict(m: str = "") -> Column:
     return ~fails
 
 
-def measures(docs: DataFrame, text: str = "text", keep: list[str] | None = None, out: str = "measures") -> DataFrame:
-    """The columns named in ``keep`` (all by default) and a struct ``out`` of the measures."""
-    keep = docs.columns if keep is None else keep
+def measured(text: Column) -> Column:
+    """A struct of the measures of a text column. Only the text goes to Python and only the measures come back."""
     names = [x.split()[0] for x in MEASURES.split(", ")]
+    kinds = [pa.int64() if x.endswith(" long") else pa.float64() for x in MEASURES.split(", ")]
+
+    @F.arrow_udf(f"struct<{MEASURES.replace(' long', ':bigint').replace(' double', ':double')}>")
+    def run(texts: pa.Array) -> pa.Array:
+        columns = list(zip(*map(measure, byte_rows(texts)), strict=True)) or [[]] * len(names)
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return run(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [measure(t) for t in batch.column(0).to_pylist()]
-            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-            kinds = [pa.int64() if x.endswith(" long") else pa.float64() for x in MEASURES.split(", ")]
-            struct = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], struct], [*keep, out])
 
-    fields = ", ".join(f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    q = [F.col(f"`{c.replace('`', '``')}`") for c in keep]
-    return docs.select(F.col(text).alias("_text"), *q).mapInArrow(run, f"{fields}, `{out}` struct<{MEASURES.replace(' long', ':bigint').replace(' double', ':double')}>")
+def measures(docs: DataFrame, text: str = "text", keep: list[str] | None = None, out: str = "measures") -> DataFrame:
+    """The columns named in ``keep`` (all by default) and a struct ``out`` of the measures; a column of that name
+    gives way to it."""
+    keep = docs.columns if keep is None else keep
+    return docs.select(*(F.col(quoted(c)) for c in keep if c.lower() != out.lower()), measured(F.col(quoted(text))).alias(out))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = measures(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]).select("doc_id", "measures.*")
+    m = measures(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "measures.*")
     return m.withColumn("base_failed", base_failed()).withColumn("kept", verdict())
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules."""
-    return measures(docs, out="_measures").where(verdict("_measures.")).drop("_measures")
+    """Documents that pass the rules, with all of their columns. Null and empty texts go, repeated rows go or stay
+    together, no rows give no rows."""
+    out = fresh(docs.columns, "measures")
+    return measures(docs, out=out).where(verdict(f"{out}.")).drop(out)

@@ -1,12 +1,14 @@
 """Toxicity by FTRL-proximal logistic regression.
 
 Features are hashed word unigrams (whole, and cut to stems, so that inflected forms share a feature),
-bigrams and skip-grams (one word left out) of the whole lower-cased text, each counted once. Per-coordinate rates and L1 sparsity leave few weights, which are broadcast.
-The model is fitted on a sample of about SAMPLE labelled documents, chosen by a hash of doc_id.
+bigrams and skip-grams (one word left out) of the whole lower-cased text, each counted once. Per-coordinate
+rates and L1 sparsity leave few weights, which are broadcast: at most 2**BITS of them.
+The model is fitted on a sample of at most SAMPLE labelled documents, those of the smallest hashes of doc_id.
 
 Defined results: null and empty texts score by the bias alone; of several labels of a document the
-largest counts, null labels do not; without labels every score is 0.5 less a bias of zero, that is 0;
-repeated rows get equal scores; further columns pass; no rows give no rows.
+largest counts, null labels do not; of several texts of a labelled document the one of the smallest hash is
+learned from; without labels every score is that of a bias of -1, 0.2689; very long texts are read whole;
+repeated rows and ties get equal scores; further columns pass, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -18,17 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.shared import BASE, mix, spans_hash, table, word_spans
+from canopy.llm.shared import BASE, as_bytes, crc_part, enough, fresh, mix, quoted, spans_hash, table, unit, word_spans
 
 BITS = 21
 STEMS = (4, 5, 6)  #: bytes of a word's start that stand for its inflected forms
 SAMPLE = 12_000  #: bound of the training sample
 ALPHA, BETA, L1, L2, EPOCHS = 0.15, 1.0, 1.2, 1.0, 3
+NO_LABELS = (np.zeros(0, np.int32), np.zeros(0, np.float32), -1.0)
 
 
 def features(text: str | None) -> np.ndarray:
     """Distinct hashed features, ascending; the bias is not among them."""
-    raw, starts, ends = word_spans((text or "").lower().encode(), letters=True)
+    raw = as_bytes((text or "").lower())
+    starts, ends = word_spans(raw, letters=True)
     if not len(starts):
         return np.zeros(0, np.int32)
     w, b = spans_hash(raw, starts, ends), np.uint64(BASE)
@@ -63,51 +67,49 @@ def train(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, f
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
     """Fits on documents (doc_id, text) with a label (doc_id, toxic)."""
-    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(marks.count(), 1)))
+    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    some = unit(F.col("doc_id")) < enough(sample, marks.count())
+    # At most ``sample`` ids, broadcast: texts that are not learned from stay where they are.
+    ids = marks.where(some).orderBy(unit(F.col("doc_id")), "doc_id").limit(sample)
+    marked = docs.where(some).select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t).tobytes() for t in batch.column(0).to_pylist()]
+            x = [features(t.as_py()).tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1)], ["x", "y"])
 
-    marked = docs.where(share).select("doc_id", "text").join(marks.where(share), "doc_id").select("text", F.col("toxic").cast("int").alias("y"))
-    got = marked.mapInArrow(run, "x binary, y int").toArrow().to_pydict()
+    got = marked.select("text", "y").mapInArrow(run, "x binary, y int").toArrow().to_pydict()
     rows = sorted(zip(got["x"], got["y"], strict=True))
-    if not rows:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32), -1.0
-    return train([(np.frombuffer(x, np.int32), int(y > 0)) for x, y in rows])
+    return train([(np.frombuffer(x, np.int32), int(y > 0)) for x, y in rows]) if rows else NO_LABELS
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
-    """The columns named in ``keep`` and the score of every whole text."""
+    """The columns named in ``keep`` and the score of every whole text; a column named ``out`` gives way to it."""
     keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         at, values, bias = shared.value
         w = np.zeros(1 << BITS, np.float32)
         w[at] = values
-        for batch in batches:
-            s = np.array([w[features(t)].sum(dtype=np.float64) for t in batch.column(0).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(1 / (1 + np.exp(-np.clip(s + bias, -30, 30))), pa.float64())], [*keep, out])
-
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col(text).alias("_text"), *keep).mapInArrow(run, f"{fields}, `{out}` double")
-
+        for some in texts:
+            s = np.array([w[features(t.as_py())].sum(dtype=np.float64) for t in some], float)
+            yield pa.array(1 / (1 + np.exp(-np.clip(s + bias, -30, 30))), pa.float64())
 
-def part(n: int):
-    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
+    return docs.select(*(F.col(quoted(c)) for c in keep if c.lower() != out.lower()), run(F.col(quoted(text))).alias(out))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(docs.where(part(5) != 0), table(spark, sf_dir, "labels").where(part(5) != 0))
+    model = fit(docs.where(crc_part(5) != 0), table(spark, sf_dir, "labels").where(crc_part(5) != 0))
     scored = score(docs, model, keep=["doc_id"])
-    return scored.select("doc_id", (part(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", (crc_part(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under one half."""
+    """Documents that score under one half, with all of their columns. Null and empty texts score by the bias,
+    repeated rows go or stay together, no rows give no rows."""
     model = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return score(docs, model, out="_toxic").where("_toxic < 0.5").drop("_toxic")
+    out = fresh(docs.columns, "toxic_score")
+    return score(docs, model, out=out).where(F.col(out) < 0.5).drop(out)
