@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.shared import durable, table
+from canopy.llm.shared import column_bytes, durable, table
 from canopy.llm.token_ids import word_encoder, word_path
 
 LIMIT, CLOSING = 4096, 1
 SHARD = 20_000  #: mean pieces of a shard
+AT_ONCE = 1 << 20  #: bytes of texts that are encoded together
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -36,16 +37,23 @@ def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", limit: int
     names = [x.split()[0] for x in PIECE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(path).encode
+        encoder, closing = word_encoder(path), np.uint32(CLOSING).astype("<u4").tobytes()
         for batch in batches:
-            keys, texts, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for at in range(0, len(keys), 500):
-                for k, ids in zip(keys[at : at + 500], encode([t or "" for t in texts[at : at + 500]]), strict=True):
-                    ids = np.append(ids, CLOSING).astype("<u4")
-                    for n, start in enumerate(range(0, len(ids), limit)):
-                        cut = ids[start : start + limit]
-                        rows.append((k, n, start, len(cut), zlib.crc32(cut.tobytes())))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, kinds, strict=True)], names)
+            keys, (raw, at) = batch.column(0).to_pylist(), column_bytes(batch.column(1))
+            lo = 0
+            while lo < len(keys):
+                # Texts of about AT_ONCE bytes are encoded together, or one longer text alone.
+                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + AT_ONCE, "right")) - 1)
+                ids, first = encoder.texts(raw, at[lo : hi + 1])
+                data, first, rows = memoryview(ids.astype("<u4", copy=False)).cast("B"), first.tolist(), []
+                for k in range(lo, hi):
+                    a, size = first[k - lo], first[k - lo + 1] - first[k - lo] + 1
+                    for n, start in enumerate(range(0, size, limit)):
+                        end = min(start + limit, size)
+                        crc = zlib.crc32(data[4 * (a + start) : 4 * (a + min(end, size - 1))])
+                        rows.append((keys[k], n, start, end - start, zlib.crc32(closing, crc) if end == size else crc))
+                lo = hi
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECE)
 
