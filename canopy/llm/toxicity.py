@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.shared import BASE, as_bytes, crc_part, enough, fresh, mix, quoted, spans_hash, table, unit, word_spans
+from canopy.llm.shared import BASE, as_bytes, column_bytes, crc_part, enough, fresh, mix, quoted, spans_hash, table, unit, word_spans
 
 BITS = 21
 STEMS = (4, 5, 6)  #: bytes of a word's start that stand for its inflected forms
@@ -71,16 +71,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     some = unit(F.col("doc_id")) < enough(sample, marks.count())
     # At most ``sample`` ids, broadcast: texts that are not learned from stay where they are.
     ids = marks.where(some).orderBy(unit(F.col("doc_id")), "doc_id").limit(sample)
-    marked = docs.where(some).select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
+    marked = docs.where(some).select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t.as_py()).tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1)], ["x", "y"])
-
-    got = marked.select("text", "y").mapInArrow(run, "x binary, y int").toArrow().to_pydict()
-    rows = sorted(zip(got["x"], got["y"], strict=True))
-    return train([(np.frombuffer(x, np.int32), int(y > 0)) for x, y in rows]) if rows else NO_LABELS
+            x = [features(t.as_py()).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary()), batch.column(2)], ["doc_id", "x", "y"])
+
+    got = marked.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, x binary, y int").toArrow().combine_chunks()
+    if not got.num_rows:
+        return NO_LABELS
+    raw, at = column_bytes(got["x"].chunk(0))
+    y, order = got["y"].to_numpy(), np.argsort(got["doc_id"].to_numpy(), kind="stable").tolist()
+    return train([(raw[at[k] : at[k + 1]].view(np.int32), int(y[k] > 0)) for k in order])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
