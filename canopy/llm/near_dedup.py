@@ -180,13 +180,18 @@ def connect(links: DataFrame) -> DataFrame:
         before = after
 
 
+def extended(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, component) with further links (a, b)."""
+    return found if links.isEmpty() else connect(found.select(F.col("component").alias("a"), F.col("id").alias("b")).union(links))
+
+
 def linked(docs: DataFrame, n: int, percent: int, rows: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, key, n_shingles, id) of ``docs`` (doc_id, text), id being the number of a class of equal sets
     and null for empty ones; and (id, component) of the classes, component being one of its classes' ids. If
     ``by_id``, classes that share a doc_id are one component, and rows of a null doc_id link nothing."""
     spark = docs.sparkSession
     made, made_at = written(sketches(docs, n, rows))
-    classes = made.where("fp IS NOT NULL" + " AND doc_id IS NOT NULL" * by_id).groupBy("fp").agg(F.min("key").alias("key"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
+    classes = made.where("fp IS NOT NULL" + " AND doc_id IS NOT NULL" * by_id).groupBy("fp").agg(F.min("key").alias("key"), F.min("doc_id").alias("low"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
     reps = durable(classes.withColumn("id", F.monotonically_increasing_id()))
     of = durable(made.select("doc_id", "key", "n_shingles", "fp").join(reps.select("fp", "id"), "fp", "left").drop("fp"))
     erase(spark, made_at)
@@ -194,29 +199,35 @@ def linked(docs: DataFrame, n: int, percent: int, rows: int, by_id: bool) -> tup
     same = of.join(shared.select("doc_id", "a"), "doc_id").select("a", F.col("id").alias("b")).where("a <> b").distinct()
     same = durable(same if by_id else same.limit(0))
 
-    banded = reps.select("id", "key", F.explode("bands").alias("band"))
-    full = banded.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").select("band", "lead")
-    members, members_at = written(banded.join(full, "band"))
+    banded = reps.select("id", "key", "low", F.explode("bands").alias("band"))
+    size = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    members, members_at = written(banded.join(size, "band"))
+    # The original of a family shares more and larger buckets than its copies do with each other.
+    shares = members.groupBy("id").agg(F.sum("size").alias("share"))
+    central, central_at = written(members.select("band", "id").join(shares, "id"))
     own = docs.select(text_key().alias("key"), "text")
     texts, texts_at = written(among(own, "key", members.select("key").distinct()).dropDuplicates(["key"]))
     check = lambda pairs: verified(pairs, reps, texts, n, percent, BANDS * rows)
-    links = same.union(check(members.where("id <> lead").groupBy("id").agg(F.min("lead").alias("a")).select("a", F.col("id").alias("b"))))
-
-    found = connect(links)
-    for turn in range(PIVOTS):
-        # Every bucket compares what its pivot's component lacks with the pivot: one pair per member at most.
-        known, known_at = written(members.join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c")))
-        pivot = known.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "c")).alias("p"))
-        met = known.join(pivot, "band").where("c <> p.c").select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
-        links = links.union(check(met))
+    middle = lambda m: m.groupBy("band").agg(F.max(F.struct("share", (-F.col("id")).alias("last"), *(["c"] if "c" in m.columns else []))).alias("p"))
+    lead = members.groupBy("band").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "id")).alias("lead"))
+    star = members.select("band", "id").join(lead, "band").where("id <> lead.id").groupBy("id").agg(F.min("lead")["id"].alias("a"))
+    found = connect(same.union(check(star.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")))))
+    for _ in range(PIVOTS):
+        # Every bucket compares what its pivot's component lacks with the pivot, which is the most central of those
+        # outside the lead's component: one pair per member at most.
+        known, known_at = written(central.join(found, "id", "left").select("band", "id", "share", F.coalesce("component", "id").alias("c")))
+        outside = known.join(middle(known).select("band", F.col("p.c").alias("first")), "band").where("c <> first").drop("first")
+        pivot = middle(outside).select("band", (-F.col("p.last")).alias("pivot"), F.col("p.c").alias("pc"))
+        met = known.join(pivot, "band").where("c <> pc").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        found = extended(found, check(met))
         erase(spark, known_at)
-        found = connect(links)
+    erase(spark, central_at)
 
     known = members.join(found, "id", "left").select("band", "id", "key", F.coalesce("component", "id").alias("c"))
     split = known.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band")
     nodes = durable(known.join(split, "band").select("id", "key", "c").distinct())
     erase(spark, members_at)
-    found = connect(links.union(check(prefix_pairs(texts, nodes, n, percent))))
+    found = extended(found, check(prefix_pairs(texts, nodes, n, percent)))
     erase(spark, texts_at)
     return of, reps.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
