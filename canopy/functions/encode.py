@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -54,7 +54,98 @@ def one_hot(code: Column, k: int) -> Column:
 
 
 def cutpoints(df: DataFrame, column: str) -> DataFrame:
-    return df.where(F.col(column).isNotNull()).select(F.col(column).alias("cut")).distinct()
+    """(cut): the distinct values of a column, ascending, one row each."""
+    return df.where(F.col(column).isNotNull()).select(F.col(column).alias("cut")).distinct().orderBy("cut")
+
+
+def integer_cutpoints(spark: SparkSession, low: int, high: int) -> DataFrame:
+    """(cut): every whole number from ``low`` to ``high``."""
+    return spark.range(low, high + 1).select(F.col("id").cast("double").alias("cut"))
+
+
+def collapse(column: Column, merged: dict[str, str]) -> Column:
+    """Labels with some merged into others; the rest stay."""
+    out = column
+    for old, new in merged.items():
+        out = F.when(column == old, F.lit(new)).otherwise(out)
+    return out
+
+
+def dummies_to_label(labels: dict[str, str], base: str) -> Column:
+    """The label whose indicator column is 1, in the order given, or ``base`` where none is."""
+    out = F.lit(base)
+    for column, label in reversed(labels.items()):
+        out = F.when(F.col(column) == 1, F.lit(label)).otherwise(out)
+    return out
+
+
+def prefixed(column: Column, prefix: str) -> Column:
+    """Ids as text, told from those of other kinds by a prefix."""
+    return F.concat(F.lit(prefix), column.cast("string"))
+
+
+def is_text(column: Column, value: str) -> Column:
+    """1 if a text equals ``value``, 0 if not, null if it is null."""
+    return (column == value).cast("int")
+
+
+def between(near: Column, far: Column, scale: float = 5.0) -> Column:
+    """From scale at distance 0 of the first set to -scale at distance 0 of the second, by the ratio of distances."""
+    total = F.nullif(near + far, F.lit(0))
+    return scale * far / total - scale * near / total
+
+
+def complete_rows(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows without a null or NaN in any of the columns, response included, so that both stay aligned."""
+    kinds = dict(df.dtypes)
+    for c in columns:
+        df = df.where(F.col(c).isNotNull() & ~F.isnan(c) if kinds[c] in ("double", "float") else F.col(c).isNotNull())
+    return df
+
+
+def exactly_one(*conditions: Column) -> Column:
+    return sum((F.coalesce(c, F.lit(False)).cast("int") for c in conditions), F.lit(0)) == 1
+
+
+def leaf_prior(df: DataFrame, y: str, trees: int) -> DataFrame:
+    """(y_mean, y_sd, tau): the scale of a response and the prior sd of its leaves."""
+    spread = (F.max(y) - F.min(y)) / F.stddev_samp(y)
+    return df.agg(F.avg(y).alias("y_mean"), F.stddev_samp(y).alias("y_sd"), (spread / (4 * trees**0.5)).alias("tau"))
+
+
+def _ticket(seed: int, *key: str) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in key)))
+
+
+def lowest(df: DataFrame, n: int, seed: int, *key: str, out: str = "chosen") -> DataFrame:
+    """Adds whether a row is among the ``n`` of the smallest md5 of seed and key, which is unique. Rows are counted
+    by the first digits of that hash; only those of the one group at the border are put in order."""
+    held = df.withColumn("_t", _ticket(seed, *key)).withColumn("_g", F.substring("_t", 1, 4))
+    groups = held.groupBy("_g").agg(F.count("*").alias("_c"))  # at most 65536 rows
+    groups = groups.withColumn("_upto", F.sum("_c").over(Window.orderBy("_g"))).withColumn("_before", F.col("_upto") - F.col("_c"))
+    edge = groups.where((F.col("_before") < n) & (F.col("_upto") > n)).select("_g", "_before")
+    border = held.join(F.broadcast(edge), "_g").withColumn("_k", F.col("_before") + F.row_number().over(Window.partitionBy("_g").orderBy("_t")))
+    last = border.where(F.col("_k") <= n).agg(F.max("_t").alias("_last"))
+    whole = groups.where(F.col("_upto") <= n).agg(F.max("_g").alias("_whole"))
+    flagged = held.join(F.broadcast(last)).join(F.broadcast(whole))
+    chosen = F.coalesce(F.col("_g") <= F.col("_whole"), F.lit(False)) | F.coalesce(F.col("_t") <= F.col("_last"), F.lit(False))
+    return flagged.withColumn(out, chosen).drop("_t", "_g", "_last", "_whole")
+
+
+def sample_share(df: DataFrame, share: float, seed: int, *key: str, out: str = "chosen") -> DataFrame:
+    """Adds a flag that is true for exactly floor(share * rows) rows."""
+    return lowest(df, int(share * df.count()), seed, *key, out=out)
+
+
+def sample_groups(df: DataFrame, share: float, seed: int, group: str, out: str = "chosen") -> DataFrame:
+    """Adds a flag that is true for all rows of floor(share * groups) groups."""
+    some = sample_share(df.select(group).distinct(), share, seed, group, out=out)
+    return df.join(some, group)
+
+
+def sample_rows(df: DataFrame, n: int, n_train: int, seed: int, *key: str) -> DataFrame:
+    """``n`` rows, ``n_train`` of them with is_train."""
+    return lowest(lowest(df, n, seed, *key).where("chosen").drop("chosen"), n_train, seed + 1, *key, out="is_train")
 
 
 def target_encode(train: DataFrame, rows: DataFrame, level: str, y: str, out: str) -> DataFrame:

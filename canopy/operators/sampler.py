@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from statistics import NormalDist
 
@@ -11,15 +13,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.operators.forest import Node, Tree
+from canopy.operators.forest import FlatForest, Node, Tree
 from canopy.operators.graph import Edges, coin_split, graph_split
 from canopy.operators.summary import normal_cdf
 from canopy.sources.forest_text import read_tree, write_tree
 
 #: Fixed values of the noise prior: degrees of freedom, and a tenth of the chi-squared quantile scaled by them.
 NU, LAMBDA = 3.0, 0.19479145805172773
-_cdf = np.vectorize(NormalDist().cdf, otypes=[float])
-_inverse = np.vectorize(NormalDist().inv_cdf, otypes=[float])
+#: Bytes of forest text that are broadcast at once; larger fits are applied in several passes over the rows.
+FOREST_BYTES = 1 << 28
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -31,6 +34,7 @@ class Design:
     levels: list[int] = field(default_factory=list)
     edges: dict[int, Edges] = field(default_factory=dict)
     cut_type: int = 1
+    memo: dict = field(default_factory=dict, repr=False)  #: splits of vertex sets that chance has no part in
 
     def __post_init__(self):
         if not self.cutpoints and not self.levels:
@@ -54,9 +58,11 @@ class Prior:
         return self.alpha * (1 + depth) ** -self.beta
 
 
-def draw_rule(tree: Tree, nid: int, design: Design, theta: np.ndarray, rng: np.random.Generator) -> Node:
+def draw_rule(tree: Tree, nid: int, design: Design, theta: np.ndarray | None, rng: np.random.Generator) -> Node:
+    """A rule from the prior; ``theta`` has the weights of the predictors, None if they are equal."""
     p = len(design.cutpoints)
-    v = int(rng.choice(len(theta), p=theta))
+    total = p + len(design.levels)
+    v = int(rng.random() * total) if theta is None else min(int(np.searchsorted(np.cumsum(theta), rng.random())), total - 1)
     if v >= p:
         var, k = v - p, design.levels[v - p]
         free = tree.levels(nid, var, range(k))
@@ -64,26 +70,26 @@ def draw_rule(tree: Tree, nid: int, design: Design, theta: np.ndarray, rng: np.r
         if len(free) < 2:
             return Node(True, var, 0.0, frozenset(free), frozenset(), k)
         network = design.edges.get(var)
-        left, right = graph_split(free, network, design.cut_type, rng) if network else coin_split(free, rng)
+        left, right = graph_split(free, network, design.cut_type, rng, design.memo) if network else coin_split(free, rng)
         return Node(True, var, 0.0, frozenset(left), frozenset(right), k)
     cuts = design.cutpoints[v]
     if cuts is None:
         low, high = tree.interval(nid, v)
         low, high = (low, high) if low < high else (-1.0, 1.0)
-        return Node(False, v, float(rng.uniform(low, high)))
+        return Node(False, v, low + (high - low) * rng.random())
     low, high = tree.interval(nid, v, float(cuts.min()), float(cuts.max()))
     between = cuts[(cuts > low) & (cuts < high)]
-    return Node(False, v, float(rng.choice(between if len(between) else cuts)))
+    between = between if len(between) else cuts
+    return Node(False, v, float(between[int(rng.random() * len(between))]))
 
 
 def draw_tree(design: Design, prior: Prior, rng: np.random.Generator) -> Tree:
     """A tree from the prior, level by level."""
-    p = len(design.cutpoints) + len(design.levels)
-    theta, tree, front = np.full(p, 1 / p), Tree(), [1]
-    for depth in range(60):
+    tree, front = Tree(), [1]
+    for depth in range(100):
         grown = [n for n in front if rng.random() < prior.grow(depth)]
         for n in grown:
-            tree.rules[n] = draw_rule(tree, n, design, theta, rng)
+            tree.rules[n] = draw_rule(tree, n, design, None, rng)
             del tree.leaves[n]
             tree.leaves |= {2 * n: 0.0, 2 * n + 1: 0.0}
         front = [c for n in grown for c in (2 * n, 2 * n + 1)]
@@ -91,103 +97,153 @@ def draw_tree(design: Design, prior: Prior, rng: np.random.Generator) -> Tree:
     return tree
 
 
+def normal_above(low: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Standard normals given that each exceeds its bound: by plain rejection where that is likely, else from a
+    shifted exponential, whose rejections stay few however far out the bound is."""
+    out, todo = np.empty(len(low)), np.arange(len(low))
+    while len(todo):
+        a = low[todo]
+        rate = (a + np.sqrt(a * a + 4)) / 2
+        far = a > 0.45
+        z = np.where(far, a + rng.exponential(size=len(a)) / rate, rng.standard_normal(len(a)))
+        good = np.where(far, rng.random(len(a)) <= np.exp(-0.5 * (z - rate) ** 2), z > a)
+        out[todo[good]] = z[good]
+        todo = todo[~good]
+    return out
+
+
 class Chain:
-    """State of one chain: trees, the leaf of every row in every tree, and the residual of the whole fit.
-    A row may be a cell of ``weight`` rows with mean y, and ``within`` the squares around the means of all cells."""
+    """State of one chain: trees, the place of every row's leaf in every tree, and the residual of the whole fit.
+    A row may be a cell of ``weight`` rows with mean y, and ``within`` the squares around the means of all cells.
+    A tree's leaves have places from 0 on, by which their node ids, values and counts stand in arrays."""
 
     def __init__(self, cont: np.ndarray | None, cat: np.ndarray | None, y: np.ndarray, design: Design, prior: Prior, probit: bool, seed: int, weight: np.ndarray | None = None, within: float = 0.0):
         if probit and weight is not None:
             raise ValueError("the latent responses of a binary fit are drawn by rows, not cells")
-        self.weight, self.within = np.ones(len(y)) if weight is None else weight.astype(float), within
-        self.cont, self.cat, self.y, self.design, self.prior, self.probit = cont, cat, y, design, prior, probit
         if cont is not None and np.isnan(cont).any():
             raise ValueError("continuous predictors hold missing values")
-        self.rng, n = np.random.default_rng(seed), len(y)
+        n, m = len(y), prior.trees
+        self.weight, self.within, self.total = None if weight is None else weight.astype(float), within, float(n if weight is None else weight.sum())
+        self.cont = None if cont is None else [np.ascontiguousarray(c) for c in cont.T]
+        self.cat = None if cat is None else [np.ascontiguousarray(c) for c in cat.T]
+        self.y, self.design, self.prior, self.probit = y, design, prior, probit
+        self.rng = np.random.default_rng(seed)
         self.p = len(design.cutpoints) + len(design.levels)
         self.theta, self.u, self.counts = np.full(self.p, 1 / self.p), 1 / (1 + self.p), np.zeros(self.p, int)
-        self.trees = [Tree() for _ in range(prior.trees)]
-        self.at = np.ones((prior.trees, n), np.int64)
-        self.fit, self.sigma, self.accepted = np.zeros(n), 1.0, 0
+        self.rules: list[Tree] = [Tree() for _ in range(m)]
+        self.at = np.zeros((m, n), np.intp)
+        self.nids: list[list[int]] = [[1] for _ in range(m)]
+        self.mu, self.size = [np.zeros(1) for _ in range(m)], [np.full(1, self.total) for _ in range(m)]
+        self.fit, self.sigma = np.zeros(n), 1.0
+        self.accepted = 0
+        self.tried, self.refused = np.zeros(2, int), np.zeros(2, int)  # grow proposals on axes and on levels
         self.target = y.astype(float)
-        if probit:
-            self.latent()
+
+    @property
+    def trees(self) -> list[Tree]:
+        return [Tree(t.rules, dict(zip(n, v.tolist(), strict=True))) for t, n, v in zip(self.rules, self.nids, self.mu, strict=True)]
 
     def latent(self) -> None:
         """Draws a unit-variance normal on the side of 0 that each response names."""
-        mean, u = self.fit, self.rng.random(len(self.y))
-        below = _cdf(-mean)
-        q = np.where(self.y > 0, below + u * (1 - below), u * below)
-        self.target = mean + _inverse(np.clip(q, 1e-12, 1 - 1e-12))
+        side = np.where(self.y > 0, 1.0, -1.0)
+        self.target = self.fit + side * normal_above(-side * self.fit, self.rng)
 
-    def lil(self, n, s) -> float:
+    def lil(self, n: float, s: float) -> float:
         precision = 1 / self.prior.tau**2 + n / self.sigma**2
         theta = self.prior.mu0 / self.prior.tau**2 + s / self.sigma**2
         return -0.5 * math.log(precision) + 0.5 * theta * theta / precision
 
-    def move(self, m: int, r: np.ndarray) -> None:
-        tree, at, rng, prior = self.trees[m], self.at[m], self.rng, self.prior
+    def move(self, m: int, r: np.ndarray, sums: np.ndarray) -> np.ndarray | None:
+        """Proposes to grow or prune tree m. r is the residual of the whole fit and sums the leaves' sums of
+        residuals without tree m. If the tree changes, r is that without tree m and the new sums are returned."""
+        tree, at, nids, size, mu = self.rules[m], self.at[m], self.nids[m], self.size[m], self.mu[m]
+        rng, prior = self.rng, self.prior
         fixed = -math.log(prior.tau) - 0.5 * (prior.mu0 / prior.tau) ** 2
-        stump = not tree.rules
+        stump = len(nids) == 1
         if stump or rng.random() < 0.5:
-            leaves = sorted(tree.leaves)
-            nid = leaves[int(rng.integers(len(leaves)))]
-            rule = draw_rule(tree, nid, self.design, self.theta, rng)
-            here = np.flatnonzero(at == nid)
-            left = np.isin(self.cat[here, rule.var], list(rule.left)) if rule.is_cat else self.cont[here, rule.var] < rule.cut
-            w = self.weight[here]
-            part = w * r[here]
-            n, s, nl, sl = w.sum(), part.sum(), w[left].sum(), part[left].sum()
+            place = int(rng.random() * len(nids))
+            nid = nids[place]
+            rule = draw_rule(tree, nid, self.design, self.theta if prior.sparse else None, rng)
+            here = slice(None) if stump else np.flatnonzero(at == place)
+            x = (self.cat if rule.is_cat else self.cont)[rule.var][here]
+            if rule.is_cat:
+                goes = np.zeros(rule.k, bool)
+                goes[list(rule.right)] = True
+                right = goes[x]
+            else:
+                right = x >= rule.cut
+            own, w = r[here], None if self.weight is None else self.weight[here]
+            nr = float(np.count_nonzero(right)) if w is None else float(w @ right)
+            sr = (float(own @ right) if w is None else float((own * w) @ right)) + nr * mu[place]
+            n, s = size[place], sums[place]
             depth, ends = nid.bit_length() - 1, tree.prunable()
             after = 1 if stump else len(ends) if nid // 2 in ends else len(ends) + 1
-            log_ratio = math.log(0.5) - math.log(after) - (math.log(1.0 if stump else 0.5) - math.log(len(leaves)))
+            log_ratio = math.log(0.5) - math.log(after) - (math.log(1.0 if stump else 0.5) - math.log(len(nids)))
             log_ratio += math.log(prior.grow(depth)) + 2 * math.log(1 - prior.grow(depth + 1)) - math.log(1 - prior.grow(depth))
-            log_ratio += self.lil(nl, sl) + self.lil(n - nl, s - sl) - self.lil(n, s) + fixed
-            if -rng.exponential() <= min(0.0, log_ratio):
-                tree.rules[nid] = rule
-                del tree.leaves[nid]
-                tree.leaves |= {2 * nid: 0.0, 2 * nid + 1: 0.0}
-                at[here] = np.where(left, 2 * nid, 2 * nid + 1)
-                self.counts[rule.var + (len(self.design.cutpoints) if rule.is_cat else 0)] += 1
-                self.accepted += 1
-            return
+            log_ratio += self.lil(n - nr, s - sr) + self.lil(nr, sr) - self.lil(n, s) + fixed
+            self.tried[int(rule.is_cat)] += 1
+            if -rng.exponential() > min(0.0, log_ratio):
+                self.refused[int(rule.is_cat)] += 1
+                return None
+            r += mu[at]
+            tree.rules[nid] = rule
+            nids[place] = 2 * nid
+            nids.append(2 * nid + 1)
+            at[right if stump else here[right]] = len(nids) - 1
+            size[place] -= nr
+            self.size[m] = np.append(size, nr)
+            sums[place] -= sr
+            self.counts[rule.var + (len(self.design.cutpoints) if rule.is_cat else 0)] += 1
+            self.accepted += 1
+            return np.append(sums, sr)
         ends = tree.prunable()
-        nid = ends[int(rng.integers(len(ends)))]
-        l, h = at == 2 * nid, at == 2 * nid + 1  # noqa: E741
-        wl, wh = self.weight[l], self.weight[h]
-        nl, nh, sl, sh = wl.sum(), wh.sum(), (wl * r[l]).sum(), (wh * r[h]).sum()
-        depth, leaves = nid.bit_length() - 1, len(tree.leaves)
+        nid = ends[int(rng.random() * len(ends))]
+        a, b = nids.index(2 * nid), nids.index(2 * nid + 1)
+        depth, leaves = nid.bit_length() - 1, len(nids)
         log_ratio = math.log(1.0 if nid == 1 else 0.5) - math.log(leaves - 1) - (math.log(0.5) - math.log(len(ends)))
         log_ratio += math.log(1 - prior.grow(depth)) - math.log(prior.grow(depth)) - 2 * math.log(1 - prior.grow(depth + 1))
-        log_ratio += self.lil(nl + nh, sl + sh) - self.lil(nl, sl) - self.lil(nh, sh) - fixed
-        if -rng.exponential() <= min(0.0, log_ratio):
-            rule = tree.rules.pop(nid)
-            del tree.leaves[2 * nid], tree.leaves[2 * nid + 1]
-            tree.leaves[nid] = 0.0
-            at[l | h] = nid
-            self.counts[rule.var + (len(self.design.cutpoints) if rule.is_cat else 0)] -= 1
-            self.accepted += 1
+        log_ratio += self.lil(size[a] + size[b], sums[a] + sums[b]) - self.lil(size[a], sums[a]) - self.lil(size[b], sums[b]) - fixed
+        if -rng.exponential() > min(0.0, log_ratio):
+            return None
+        r += mu[at]
+        rule = tree.rules.pop(nid)
+        low, high, last = min(a, b), max(a, b), leaves - 1
+        at[at == high] = low
+        nids[low] = nid
+        size[low] += size[high]
+        sums[low] += sums[high]
+        if high != last:  # the last leaf takes the free place
+            at[at == last] = high
+            nids[high], size[high], sums[high] = nids[last], size[last], sums[last]
+        nids.pop()
+        self.size[m] = size[:-1]
+        self.counts[rule.var + (len(self.design.cutpoints) if rule.is_cat else 0)] -= 1
+        self.accepted += 1
+        return sums[:-1]
 
     def step(self) -> None:
         """One sweep over the trees, the noise and, if asked for, the weights of the predictors."""
         rng, prior = self.rng, self.prior
-        self.accepted = 0
+        self.accepted, self.tried[:], self.refused[:] = 0, 0, 0
         if self.probit:
             self.latent()
         r = self.target - self.fit
-        for m, tree in enumerate(self.trees):
-            ids, at = np.array(sorted(tree.leaves)), self.at[m]
-            r += np.array([tree.leaves[i] for i in ids])[np.searchsorted(ids, at)]
-            self.move(m, r)
-            ids = np.array(sorted(tree.leaves))
-            place = np.searchsorted(ids, at)
-            n, s = np.bincount(place, self.weight, len(ids)), np.bincount(place, self.weight * r, len(ids))
-            precision = 1 / prior.tau**2 + n / self.sigma**2
-            mu = rng.normal((prior.mu0 / prior.tau**2 + s / self.sigma**2) / precision, precision**-0.5)
-            tree.leaves = dict(zip(ids.tolist(), mu.tolist(), strict=True))
-            r -= mu[place]
+        for m in range(prior.trees):
+            at, old = self.at[m], self.mu[m]
+            sums = np.bincount(at, r if self.weight is None else self.weight * r, len(old)) + self.size[m] * old
+            changed = self.move(m, r, sums)
+            precision = 1 / prior.tau**2 + self.size[m] / self.sigma**2
+            mu = (prior.mu0 / prior.tau**2 + (sums if changed is None else changed) / self.sigma**2) / precision
+            mu += rng.standard_normal(len(mu)) / np.sqrt(precision)
+            if changed is None:
+                r += (old - mu)[at]
+            else:
+                r -= mu[at]
+            self.mu[m] = mu
         self.fit = self.target - r
         if not self.probit:
-            self.sigma = math.sqrt((LAMBDA * NU + float(self.weight @ (r * r)) + self.within) / rng.chisquare(NU + self.weight.sum()))
+            squares = float(r @ r) if self.weight is None else float(self.weight @ (r * r))
+            self.sigma = math.sqrt((LAMBDA * NU + squares + self.within) / rng.chisquare(NU + self.total))
         if prior.sparse:
             self.weights()
 
@@ -195,37 +251,45 @@ class Chain:
         """Dirichlet weights of the predictors given their use, and their concentration by an independence step."""
         rng, p = self.rng, self.p
         shape = self.u / (1 - self.u)
-        g = np.maximum(rng.gamma(shape / 1 + self.counts), 1e-300)
-        self.theta = g / g.sum()
+        # Logs of gammas, as those of unused predictors may be too small to be told from 0.
+        g = np.log(rng.gamma(shape + self.counts + 1)) + np.log(rng.random(p)) / (shape + self.counts)
+        logs = g - g.max() - math.log(float(np.exp(g - g.max()).sum()))
+        self.theta = np.exp(logs)
         new = float(np.clip(rng.beta(0.5, 1.0), 1e-6, 1 - 1e-6))
-        total = float(np.log(np.maximum(self.theta, 1e-300)).sum())
-        log = lambda u: math.lgamma(p * u / (1 - u)) - p * math.lgamma(u / (1 - u)) + (u / (1 - u)) * total
-        if -rng.exponential() <= log(new) - log(self.u):
+        density = lambda u: math.lgamma(p * u / (1 - u)) - p * math.lgamma(u / (1 - u)) + (u / (1 - u)) * float(logs.sum())
+        if -rng.exponential() <= density(new) - density(self.u):
             self.u = new
 
 
-def run_chain(pdf: pd.DataFrame, y: str, cont: list[str], cat: list[str], design: Design, prior: Prior, probit: bool, draws: int, burn: int, thin: int, seed: int, weight: np.ndarray | None = None, within: float = 0.0):
+def run_chain(pdf: pd.DataFrame, y: str, cont: list[str], cat: list[str], design: Design, prior: Prior, probit: bool, draws: int, burn: int, thin: int, seed: int, weight: np.ndarray | None = None, within: float = 0.0, print_every: int = 0) -> Iterator[tuple[int | None, Chain]]:
     """Yields (draw, chain) on every sweep; draw is None on those not kept."""
     chain = Chain(
         pdf[cont].to_numpy(float) if cont else None, pdf[cat].to_numpy(int) if cat else None, pdf[y].to_numpy(float), design, prior, probit, seed, weight, within
     )
-    for sweep in range(1 + burn + (draws - 1) * thin):
+    sweeps = 1 + burn + (draws - 1) * thin
+    for sweep in range(sweeps):
         chain.step()
+        if print_every and (sweep + 1) % print_every == 0:
+            log.info("sweep %d of %d, %s", sweep + 1, sweeps, "warm-up" if sweep < burn else "sampling")
         yield (sweep - burn) // thin if sweep >= burn and (sweep - burn) % thin == 0 else None, chain
 
 
-def fit_chains(frame: DataFrame, y: str, cont: list[str], cat: list[str], design: Design, keys: tuple[str, ...] = ("chain",), probit: bool = False, trees: int = 200, draws: int = 1000, burn: int = 1000, thin: int = 1, sparse: bool = False, seed: int = 1, cells: bool = False, trace: bool = False) -> DataFrame:
+def fit_chains(frame: DataFrame, y: str, cont: list[str], cat: list[str], design: Design, keys: tuple[str, ...] = ("chain",), probit: bool = False, trees: int = 200, draws: int = 1000, burn: int = 1000, thin: int = 1, sparse: bool = False, seed: int = 1, cells: bool = False, trace: bool = False, print_every: int = 0) -> DataFrame:
     """Fits one chain per group of ``keys``; groups run side by side, and each has to fit in a task.
 
     Returns (keys, draw, tree, text, y_mean, y_sd, sigma, counts): the forests as text, to be applied by
     ``predict_draws`` and ``predict_probit``. With ``trace`` it returns a row for every sweep of the same chains
-    instead: (keys, sweep, draw, sigma, accepted, theta, counts), draw null on sweeps not kept. Responses are standardised within a group unless ``probit``. With ``cells`` a row is a cell of equal
-    predictors, (n, sum_y, sum_yy, low, high) of ``encode.cells``, and the fit is that of all their rows."""
+    instead: (keys, sweep, draw, sigma, accepted, theta, counts) and the proposals to grow on axes and on levels
+    and how many of each were refused, draw null on sweeps not kept. Responses are standardised within a group
+    unless ``probit``. With ``cells`` a row is a cell of equal predictors, (n, sum_y, sum_yy, low, high) of
+    ``encode.cells``, and the fit is that of all their rows. Rows are put in order first, so that a seed fixes
+    the result. ``print_every`` sweeps a line goes to the task's log."""
     if cells and (probit or any(c is None for c in design.cutpoints)):
         raise ValueError("cells stand for rows in Gaussian fits on discrete cutpoints only")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         weight, within = None, 0.0
+        pdf = pdf.sort_values([*cont, *cat, *(["n", "sum_y", "sum_yy"] if cells else [y])], kind="stable", ignore_index=True)
         if cells:
             pdf = pdf[pdf["n"] > 0]
             weight, total, squares = (pdf[c].to_numpy(float) for c in ("n", "sum_y", "sum_yy"))
@@ -250,10 +314,10 @@ def fit_chains(frame: DataFrame, y: str, cont: list[str], cat: list[str], design
             prior.tau = spread / (4 * trees**0.5)
         own = seed + int(pd.util.hash_array(np.array(["|".join(map(str, key))], object))[0] % (1 << 31))
         out = []
-        every = run_chain(pdf, y, cont, cat, design, prior, probit, draws, burn, thin, own, weight, within)
+        every = run_chain(pdf, y, cont, cat, design, prior, probit, draws, burn, thin, own, weight, within, print_every)
         if trace:
-            out = [(*key, i, draw, c.sigma * sd, c.accepted, c.theta.tolist(), c.counts.tolist()) for i, (draw, c) in enumerate(every)]
-            return pd.DataFrame(out, columns=[*keys, "sweep", "draw", "sigma", "accepted", "theta", "counts"]).astype({"draw": "Int32"})
+            out = [(*key, i, draw, c.sigma * sd, c.accepted, c.theta.tolist(), c.counts.tolist(), *c.tried.tolist(), *c.refused.tolist()) for i, (draw, c) in enumerate(every)]
+            return pd.DataFrame(out, columns=[*keys, "sweep", "draw", "sigma", "accepted", "theta", "counts", "axis_tried", "level_tried", "axis_refused", "level_refused"]).astype({"draw": "Int32"})
         for draw, c in every:
             if draw is None:
                 continue
@@ -262,28 +326,69 @@ def fit_chains(frame: DataFrame, y: str, cont: list[str], cat: list[str], design
 
     kinds = ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keys)
     if trace:
-        return frame.groupBy(*keys).applyInPandas(run, f"{kinds}, sweep int, draw int, sigma double, accepted int, theta array<double>, counts array<long>")
+        return frame.groupBy(*keys).applyInPandas(run, f"{kinds}, sweep int, draw int, sigma double, accepted int, theta array<double>, counts array<long>, axis_tried int, level_tried int, axis_refused int, level_refused int")
     return frame.groupBy(*keys).applyInPandas(run, f"{kinds}, draw int, tree int, text string, y_mean double, y_sd double, sigma double, counts array<long>")
 
 
-def predict_draws(fits: DataFrame, rows: DataFrame, row_id: str, cont: list[str], cat: list[str], keys: tuple[str, ...] = ("chain",)) -> DataFrame:
+def predict_draws(fits: DataFrame, rows: DataFrame, row_id: str, cont: list[str], cat: list[str], keys: tuple[str, ...] = ("chain",), mean_only: bool = False, probit: bool = False, own: bool = False) -> DataFrame:
     """(row_id, keys, draw, value): every stored draw of ``fit_chains`` applied to every row, on the scale of the
-    response. The forests of all draws come to the driver as text and go to each task."""
-    forests = {}
-    for f in fits.select(*keys, "draw", "tree", "text", "y_mean", "y_sd").collect():
-        forests.setdefault((*(f[k] for k in keys), f["draw"]), (f["y_mean"], f["y_sd"], []))[2].append((f["tree"], f["text"]))
-    stored = rows.sparkSession.sparkContext.broadcast(forests)
-
-    def run(batches):
-        read = [(k, mean, sd, [read_tree(t) for _, t in sorted(texts)]) for k, (mean, sd, texts) in sorted(stored.value.items())]
-        for pdf in batches:
-            x, z, n = pdf[cont].to_numpy(float) if cont else None, pdf[cat].to_numpy(int) if cat else None, len(pdf)
-            for k, mean, sd, trees in read:
-                value = mean + sd * sum((t.evaluate(x, z, n) for t in trees), np.zeros(n))
-                yield pd.DataFrame({row_id: pdf[row_id], **{c: [v] * n for c, v in zip((*keys, "draw"), k, strict=True)}, "value": value})
-
-    kinds = [f"`{row_id}` {rows.schema[row_id].dataType.simpleString()}", *(f"`{k}` {fits.schema[k].dataType.simpleString()}" for k in keys)]
-    return rows.select(row_id, *cont, *cat).mapInPandas(run, f"{', '.join(kinds)}, draw int, value double")
+    response or, if ``probit``, as probabilities. With ``mean_only`` one row per (row_id, keys) with the mean over
+    draws, which is all that leaves a task; if ``own``, rows hold the keys as well and take the fit of their own group
+    alone. Forests are broadcast FOREST_BYTES of text at a time; what is more
+    takes further passes over the rows, each over some of the draws."""
+    size = fits.groupBy(*keys, "draw").agg(F.sum(F.length("text")).alias("bytes")).orderBy(*keys, "draw").collect()  # a row per kept draw
+    passes: list[list[tuple]] = [[]]
+    for r in size:
+        if passes[-1] and sum(b for _, b in passes[-1]) + r["bytes"] > FOREST_BYTES:
+            passes.append([])
+        passes[-1].append(((*(r[k] for k in keys), r["draw"]), r["bytes"]))
+    names, n_draws = [*keys, "draw"], {}
+    for r in size:
+        n_draws[tuple(r[k] for k in keys)] = n_draws.get(tuple(r[k] for k in keys), 0) + 1
+    types = [f"`{row_id}` {rows.schema[row_id].dataType.simpleString()}", *(f"`{k}` {fits.schema[k].dataType.simpleString()}" for k in keys)]
+    schema = f"{', '.join(types)}, value double" if mean_only else f"{', '.join(types)}, draw int, value double"
+
+    def applied(some: DataFrame) -> DataFrame:
+        forests: dict[tuple, tuple] = {}
+        for f in some.select(*names, "tree", "text", "y_mean", "y_sd").collect():
+            forests.setdefault(tuple(f[k] for k in names), (f["y_mean"], f["y_sd"], []))[2].append((f["tree"], f["text"]))
+        stored = rows.sparkSession.sparkContext.broadcast(forests)
+
+        def apply(pdf: pd.DataFrame, read: list[tuple]) -> Iterator[pd.DataFrame]:
+            x, z, n = pdf[cont].to_numpy(float) if cont else None, pdf[cat].fillna(-1).to_numpy(int) if cat else None, len(pdf)
+            means: dict[tuple, np.ndarray] = {}
+            for k, mean, sd, forest in read:
+                value = mean + sd * forest.total(x, z, n)
+                if probit:
+                    value = 0.5 * np.frompyfunc(math.erfc, 1, 1)(-value / 2**0.5).astype(float)
+                if mean_only:
+                    means[k[:-1]] = means.get(k[:-1], 0.0) + value / n_draws[k[:-1]]
+                else:
+                    yield pd.DataFrame({row_id: pdf[row_id], **{c: [v] * n for c, v in zip(names, k, strict=True)}, "value": value})
+            for k, value in means.items():
+                yield pd.DataFrame({row_id: pdf[row_id], **{c: [v] * n for c, v in zip(keys, k, strict=True)}, "value": value})
+
+        def run(batches):
+            every = [(k, mean, sd, FlatForest([read_tree(t) for _, t in sorted(texts)])) for k, (mean, sd, texts) in sorted(stored.value.items())]
+            for whole in batches:
+                if not own:
+                    yield from apply(whole, every)
+                    continue
+                for group, pdf in whole.groupby(list(keys), sort=False):
+                    yield from apply(pdf, [r for r in every if r[0][:-1] == tuple(group)])
+
+        return rows.select(*dict.fromkeys([row_id, *(keys if own else ()), *cont, *cat])).mapInPandas(run, schema)
+
+    out = None
+    for chosen in passes:
+        some = fits
+        if len(passes) > 1:
+            picked = rows.sparkSession.createDataFrame([k for k, _ in chosen], fits.select(*names).schema)
+            some = fits.join(F.broadcast(picked), names, "left_semi")
+        out = applied(some) if out is None else out.unionByName(applied(some))
+    if mean_only and len(passes) > 1:
+        out = out.groupBy(row_id, *keys).agg(F.sum("value").alias("value"))
+    return out
 
 
 def predict_probit(fits: DataFrame, rows: DataFrame, row_id: str, cont: list[str], cat: list[str], keys: tuple[str, ...] = ("chain",)) -> DataFrame:
@@ -292,6 +397,33 @@ def predict_probit(fits: DataFrame, rows: DataFrame, row_id: str, cont: list[str
     return predict_draws(fits, rows, row_id, cont, cat, keys).withColumn("value", normal_cdf(F.col("value")))
 
 
+def predict_column(fits: DataFrame, keys: tuple, cont: list[str], cat: list[str], probit: bool = False):
+    """A pandas UDF of the predictors, continuous ones first, that gives the posterior mean of the fit of one group
+    of ``fits``; to be used as a column or registered for SQL. The forests of the group are at most FOREST_BYTES."""
+    got = fits.select("draw", "tree", "text", "y_mean", "y_sd").collect() if fits.agg(F.sum(F.length("text"))).first()[0] <= FOREST_BYTES else None
+    if got is None:
+        raise ValueError(f"the fit of {keys} has more than {FOREST_BYTES} bytes; predict_draws takes it in several passes")
+    draws: dict[int, list] = {}
+    for f in sorted(got, key=lambda f: (f["draw"], f["tree"])):
+        draws.setdefault(f["draw"], []).append(f["text"])
+    shift, scale = (got[0]["y_mean"], got[0]["y_sd"]) if got else (0.0, 1.0)
+    stored, n_cont = fits.sparkSession.sparkContext.broadcast(list(draws.values())), len(cont)
+
+    @F.pandas_udf("double")
+    def predict(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        read = [FlatForest([read_tree(t) for t in texts]) for texts in stored.value]
+        for columns in parts:
+            n = len(columns[0])
+            x = np.stack([c.to_numpy(float) for c in columns[:n_cont]], 1) if n_cont else None
+            z = np.stack([c.fillna(-1).to_numpy(int) for c in columns[n_cont:]], 1) if len(columns) > n_cont else None
+            values = [shift + scale * f.total(x, z, n) for f in read]
+            if probit:
+                values = [0.5 * np.frompyfunc(math.erfc, 1, 1)(-v / 2**0.5).astype(float) for v in values]
+            yield pd.Series(sum(values) / len(values))
+
+    return predict
+
+
 def sample_prior(spark, design: Design, trees: int, tau: float | None = None, seed: int = 1) -> DataFrame:
     """(tree, text) of trees from the prior, each drawn from its own seed."""
     prior = Prior(trees=trees, tau=tau or trees**-0.5)

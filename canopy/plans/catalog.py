@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions import encode, metrics
 from canopy.operators import forest, graph, sampler, summary
+from canopy.plans import more
 from canopy.sources import forest_text
 
 #: A small stored forest on price frames: continuous discount, tax; categorical return flag code.
@@ -50,8 +51,7 @@ def leaf_sizes(spark, sf):
 
 
 def parse_forest(spark, sf):
-    nodes = forest_text.parse_forest(spark.createDataFrame(list(enumerate(TEXTS)), "tree int, text string"))
-    return nodes.select("tree", "nid", "is_leaf", "mu", "is_cat", "var", "cut", F.array_join("lvals", ",").alias("lvals"), F.array_join("rvals", ",").alias("rvals"))
+    return more.listed(forest_text.parse_forest(spark.createDataFrame(list(enumerate(TEXTS)), "tree int, text string")))
 
 
 def variable_counts(spark, sf):
@@ -165,3 +165,6 @@ SELECT event_type, round(max(value) FILTER (WHERE k = floor(a)) + max(a - floor(
     "nation_distances": "SELECT n_nationkey AS v, least(abs(n_nationkey - 3), abs(n_nationkey - 20))::INT AS distance FROM nation",
     "induced_edges": f"SELECT * FROM ({_SAME}) WHERE src % 2 = 0 AND dst % 2 = 0",
 }
+
+QUERIES |= more.QUERIES
+SQL |= more.SQL

@@ -5,7 +5,7 @@ Level sets are hexadecimal bitmaps of K // 4 + 1 digits; a digit's highest bit i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.operators.forest import Node, Tree
@@ -29,6 +29,12 @@ def hex_levels(text: Column) -> Column:
     return F.filter(at, lambda i: F.substr(all_bits, i + 1, F.lit(1)) == "1")
 
 
+def levels_hex(levels: Column, k: Column) -> Column:
+    """The bitmap column of an array of levels below k, in built-in functions."""
+    digit = lambda d: F.aggregate(levels, F.lit(0), lambda a, v: a + F.when(F.floor(v / 4) == d, F.element_at(F.array(*map(F.lit, (8, 4, 2, 1))), (F.pmod(v, F.lit(4)) + 1).cast("int"))).otherwise(0))
+    return F.lower(F.array_join(F.transform(F.sequence(F.lit(0), F.floor(k / 4).cast("int")), lambda d: F.conv(digit(d).cast("string"), 10, 16)), ""))
+
+
 def read_tree(text: str) -> Tree:
     rules, leaves = {}, {}
     for line in filter(None, map(str.strip, text.splitlines())):
@@ -70,7 +76,7 @@ def write_tree(tree: Tree) -> str:
 
 
 def parse_forest(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Node rows (keys, nid, is_leaf, mu, is_cat, var, cut, lvals, rvals) of tree texts, in built-in functions."""
+    """Node rows (keys, nid, is_leaf, mu, is_cat, var, cut, lvals, rvals, k) of tree texts, in built-in functions."""
     keys = [c for c in texts.columns if c != text]
     lines = texts.select(*keys, F.explode(F.split(F.col(text), "\n")).alias("_line")).withColumn("_t", F.split(F.trim("_line"), r"\s+")).where(F.size("_t") >= 3)
     t = lambda i: F.get("_t", F.lit(i))
@@ -79,6 +85,7 @@ def parse_forest(texts: DataFrame, text: str = "text") -> DataFrame:
         *keys, t(0).cast("long").alias("nid"), leaf.alias("is_leaf"), F.when(leaf, t(2).cast("double")).alias("mu"), F.when(~leaf, cat).alias("is_cat"),
         F.when(~leaf, F.when(cat, t(3)).otherwise(t(4))).cast("int").alias("var"), F.when(~leaf & ~cat, t(3).cast("double")).alias("cut"),
         F.when(~leaf & cat, hex_levels(t(5))).alias("lvals"), F.when(~leaf & cat, hex_levels(t(6))).alias("rvals"),
+        F.when(~leaf & cat, t(4)).cast("int").alias("k"),
     )
 
 
@@ -86,3 +93,28 @@ def forest_text(nodes: DataFrame, *keys: str) -> DataFrame:
     """One text per tree from rows with ``nid`` and ``line``, parents before children, left before right."""
     path = F.rpad(F.bin(F.col("nid")), 64, " ")
     return nodes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(path.alias("p"), "line"))).alias("l")).select(*keys, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+
+
+def node_lines(nodes: DataFrame) -> DataFrame:
+    """Adds ``line``, the text of a node; ``k`` has the number of levels of categorical rules."""
+    cat = F.concat_ws(" ", F.col("nid").cast("string"), F.lit("r 1"), F.col("var").cast("string"), F.col("k").cast("string"), levels_hex(F.col("lvals"), F.col("k")), levels_hex(F.col("rvals"), F.col("k")))
+    axis = F.concat_ws(" ", F.col("nid").cast("string"), F.lit("r 0"), F.col("cut").cast("string"), F.col("var").cast("string"))
+    leaf = F.concat_ws(" ", F.col("nid").cast("string"), F.lit("m"), F.col("mu").cast("string"))
+    return nodes.withColumn("line", F.when(F.col("is_leaf"), leaf).when(F.col("is_cat"), cat).otherwise(axis))
+
+
+def register(spark: SparkSession, name: str = "forest_nodes") -> None:
+    """Registers a table function of a tree's text: SELECT * FROM texts, LATERAL forest_nodes(text)."""
+
+    @F.udtf(returnType="nid bigint, is_leaf boolean, mu double, is_cat boolean, var int, cut double, lvals array<int>, rvals array<int>")
+    class Nodes:
+        def eval(self, text: str):
+            tree = read_tree(text)
+            for nid in sorted([*tree.rules, *tree.leaves]):
+                r = tree.rules.get(nid)
+                if r is None:
+                    yield nid, True, tree.leaves[nid], None, None, None, None, None
+                else:
+                    yield nid, False, None, r.is_cat, r.var, None if r.is_cat else r.cut, sorted(r.left) if r.is_cat else None, sorted(r.right) if r.is_cat else None
+
+    spark.udtf.register(name, Nodes)

@@ -4,7 +4,7 @@ import pytest
 from canopy.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["nation", "customer", "orders", "lineitem", "events"]
+TABLES = ["nation", "customer", "part", "orders", "lineitem", "events"]
 
 
 def rows(frame):
