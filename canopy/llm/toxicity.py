@@ -25,7 +25,7 @@ from canopy.llm.shared import BASE, as_bytes, column_bytes, crc_part, enough, fr
 BITS = 21
 STEMS = (4, 5, 6)  #: bytes of a word's start that stand for its inflected forms
 SAMPLE = 12_000  #: bound of the training sample
-ALPHA, BETA, L1, L2, EPOCHS = 0.15, 1.0, 1.2, 1.0, 3
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 4.0, 1.0, 10
 NO_LABELS = (np.zeros(0, np.int32), np.zeros(0, np.float32), -1.0)
 
 
