@@ -7,7 +7,7 @@ its characters; the rendered text thus holds ``<|`` only in its own marks, and `
 
 Defined results: null roles and texts are empty; turns stand by turn, role and text (nulls first), so
 ties and repeated rows have one order and all stay; a null conv_id is a conversation of its own; no
-rows give no rows. Further columns are left out.
+rows give no rows; very long texts are encoded whole. Further columns are left out.
 """
 
 from __future__ import annotations
@@ -97,33 +97,41 @@ def token_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def format_chats(conversations: DataFrame, path: str | None = None) -> DataFrame:
-    """One row per conversation: conv_id, text, ids, mask (one byte a token), and digests read back."""
+DIGESTS = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+
+def format_chats(conversations: DataFrame, path: str | None = None, digests_only: bool = False) -> DataFrame:
+    """One row per conversation: conv_id, text, ids, mask (one byte a token), and digests read back from these. With
+    ``digests_only`` the text, ids and mask do not leave the task that made them. A conversation is one row by
+    nature, so its turns meet in one task."""
     path = path or token_path()
     turns = conversations.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns")
     )
-    names = ["conv_id", "text", "ids", "mask", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = [pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    kinds = [pa.string(), pa.list_(pa.int64()), pa.binary()] * (not digests_only) + [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    schema = "conv_id long, " + "text string, ids array<long>, mask binary, " * (not digests_only) + DIGESTS
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for conv_id, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                f = format_conversation([(t["role"], t["text"]) for t in said], path)
+            for said in batch.column(1):
+                f = format_conversation([(t["role"], t["text"]) for t in said.as_py()], path)
                 back, loss = read_turns(f.text), "".join(read_loss(f))
                 digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in back).encode()).hexdigest()
-                rows.append((conv_id, f.text, f.ids.tolist(), f.mask.tobytes(), len(back), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(f.text)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 9, kinds, strict=True)], names)
+                whole = () if digests_only else (f.text, f.ids, f.mask.tobytes())
+                rows.append((*whole, len(back), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(f.text)))
+            columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
-    return turns.mapInArrow(run, "conv_id long, text string, ids array<long>, mask binary, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turns").mapInArrow(run, schema)
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(1).selectExpr("-1L AS conv_id", f"posexplode(array('user', 'assistant')) AS (turn, role)").selectExpr("conv_id", "CAST(turn AS long) AS turn", "role", f"'{said}' AS text")
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return format_chats(chats).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    return format_chats(chats, digests_only=True)
 
 
 OP1_SQL = r"""
