@@ -43,6 +43,11 @@ class Design:
             raise ValueError("a list of cutpoints needs two or more")
         if not 0 <= self.cut_type <= 7:
             raise ValueError("cut_type is 0 to 7")
+        for var, edges in self.edges.items():
+            if var >= len(self.levels) or self.levels[var] < 2:
+                raise ValueError("a network needs a categorical predictor of two levels or more")
+            if any(not 0 <= v < self.levels[var] for e in edges for v in e[:2]):
+                raise ValueError("a network has edges to levels that its predictor lacks")
 
 
 @dataclass
@@ -122,6 +127,12 @@ class Chain:
             raise ValueError("the latent responses of a binary fit are drawn by rows, not cells")
         if cont is not None and np.isnan(cont).any():
             raise ValueError("continuous predictors hold missing values")
+        for v, cuts in enumerate(design.cutpoints):
+            if cuts is None and len(y) and (np.abs(cont[:, v]) > 1).any():
+                log.warning("continuous predictor %d leaves [-1, 1], where its cuts fall; see encode.rescale", v)
+        for v, k in enumerate(design.levels):
+            if len(y) and not ((cat[:, v] >= 0) & (cat[:, v] < k)).all():
+                raise ValueError(f"categorical predictor {v} has levels outside 0 to {k - 1}")
         n, m = len(y), prior.trees
         self.weight, self.within, self.total = None if weight is None else weight.astype(float), within, float(n if weight is None else weight.sum())
         self.cont = None if cont is None else [np.ascontiguousarray(c) for c in cont.T]

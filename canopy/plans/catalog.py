@@ -71,8 +71,9 @@ def level_codes(spark, sf):
 
 
 def target_encode(spark, sf):
-    c = _t(spark, sf, "customer")
-    return encode.target_encode(c.where("c_custkey % 3 <> 0 AND c_nationkey <> 7"), c.where("c_custkey % 3 = 0"), "c_nationkey", "c_acctbal", "enc").select("c_custkey", F.round("enc", 4).alias("enc"))
+    """Every customer by the mean of the customers of its nation that stand in a training share of three quarters."""
+    c = encode.sample_share(_t(spark, sf, "customer"), 0.75, 7, "c_custkey", out="is_train")
+    return encode.target_encode(c.where("is_train"), c, "c_nationkey", "c_acctbal", "enc").select("c_custkey", F.round("enc", 6).alias("enc"))
 
 
 def target_encode_all(spark, sf):
@@ -114,7 +115,10 @@ def nation_distances(spark, sf):
 
 
 def induced_edges(spark, sf):
-    return graph.induced(_edges(spark, sf), _t(spark, sf, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("v")))
+    """The edges between nations whose customers' mean balance is above that of all customers."""
+    c = _t(spark, sf, "customer")
+    rich = c.groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("m")).join(c.agg(F.avg("c_acctbal").alias("a"))).where("m > a")
+    return graph.induced(_edges(spark, sf), rich.select(F.col("c_nationkey").alias("v")))
 
 
 def fit_balance(spark, sf):
@@ -150,8 +154,9 @@ SELECT tree::INT AS tree, count(*) AS num_leafs, count(*) FILTER (WHERE n = 1) A
     "standardise": "SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER (), 6) AS y_std FROM customer",
     "rescale": "SELECT c_custkey, round(-1 + 2 * (c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()), 6) AS x FROM customer",
     "level_codes": "SELECT DISTINCT o_orderpriority AS label, (dense_rank() OVER (ORDER BY o_orderpriority) - 1)::INT AS code FROM orders WHERE o_orderpriority IS NOT NULL",
-    "target_encode": """WITH t AS (SELECT * FROM customer WHERE c_custkey % 3 <> 0 AND c_nationkey <> 7), m AS (SELECT c_nationkey, avg(c_acctbal) AS m FROM t GROUP BY 1)
-SELECT c_custkey, round(coalesce(m, (SELECT avg(c_acctbal) FROM t)), 4) AS enc FROM customer LEFT JOIN m USING (c_nationkey) WHERE c_custkey % 3 = 0""",
+    "target_encode": """WITH s AS (SELECT *, row_number() OVER (ORDER BY md5('7:' || c_custkey)) <= floor(0.75 * count(*) OVER ()) AS is_train FROM customer),
+t AS (SELECT * FROM s WHERE is_train), m AS (SELECT c_nationkey, avg(c_acctbal) AS m FROM t GROUP BY 1)
+SELECT c_custkey, round(coalesce(m, (SELECT avg(c_acctbal) FROM t)), 6) AS enc FROM customer LEFT JOIN m USING (c_nationkey)""",
     "target_encode_all": "SELECT c_custkey, round(avg(c_acctbal) OVER (PARTITION BY c_nationkey), 4) AS enc FROM customer",
     "cells": "SELECT l_returnflag, l_linestatus, l_linenumber, count(l_quantity) AS n, sum(l_quantity) AS sum_y, sum(l_quantity * l_quantity) AS sum_yy FROM lineitem GROUP BY 1, 2, 3",
     "model_metrics": """SELECT l_returnflag, round(sqrt(avg((l_discount - l_tax) * (l_discount - l_tax))), 8) AS rmse,
@@ -163,7 +168,7 @@ SELECT event_type, round(max(value) FILTER (WHERE k = floor(a)) + max(a - floor(
   round(max(value) FILTER (WHERE k = floor(b)) + max(b - floor(b)) * (max(value) FILTER (WHERE k = least(floor(b) + 1, n)) - max(value) FILTER (WHERE k = floor(b))), 6) AS upper FROM h GROUP BY event_type""",
     "nation_components": "SELECT n_nationkey AS v, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS component FROM nation",
     "nation_distances": "SELECT n_nationkey AS v, least(abs(n_nationkey - 3), abs(n_nationkey - 20))::INT AS distance FROM nation",
-    "induced_edges": f"SELECT * FROM ({_SAME}) WHERE src % 2 = 0 AND dst % 2 = 0",
+    "induced_edges": f"WITH r AS (SELECT c_nationkey FROM customer GROUP BY 1 HAVING avg(c_acctbal) > (SELECT avg(c_acctbal) FROM customer)) SELECT * FROM ({_SAME}) WHERE src IN (FROM r) AND dst IN (FROM r)",
 }
 
 QUERIES |= more.QUERIES

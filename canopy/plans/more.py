@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -438,16 +439,14 @@ def weighted_edge_list(spark, sf):
     return readers.edges_from_rows(n.selectExpr("n_nationkey - 1 AS a", "n_nationkey AS b", "n_regionkey + 0.5D AS w"))
 
 
-@query("SELECT a.range::INT AS vertex, " + ", ".join(f"(abs(a.range - {j}) = 1)::INT::DOUBLE AS v{j}" for j in range(6)) + " FROM range(6) a")
+@query("SELECT n_nationkey AS vertex, " + ", ".join(f"(abs(n_nationkey - {j}) = 1)::INT::DOUBLE AS v{j}" for j in range(N_TABLE)) + " FROM nation")
 def adjacency_matrix(spark, sf):
-    six = readers.edges_from_rows(_chain(spark, sf)).where("dst < 6")
-    return graph.adjacency(six, list(range(6))).toDF("vertex", *(f"v{j}" for j in range(6)))
+    return graph.adjacency(readers.edges_from_rows(_chain(spark, sf)), list(range(N_TABLE))).toDF("vertex", *(f"v{j}" for j in range(N_TABLE)))
 
 
-@query("SELECT n_nationkey - 1 AS src, n_nationkey AS dst, 1.0::DOUBLE AS weight FROM nation WHERE n_nationkey BETWEEN 1 AND 5")
+@query("SELECT n_nationkey - 1 AS src, n_nationkey AS dst, 1.0::DOUBLE AS weight FROM nation WHERE n_nationkey > 0")
 def edges_of_matrix(spark, sf):
-    six = readers.edges_from_rows(_chain(spark, sf)).where("dst < 6")
-    return readers.edges_from_matrix(graph.adjacency(six, list(range(6))))
+    return readers.edges_from_matrix(graph.adjacency(readers.edges_from_rows(_chain(spark, sf)), list(range(N_TABLE))))
 
 
 @query("SELECT a.n_nationkey AS src, b.n_nationkey AS dst, abs(a.n_nationkey - b.n_nationkey)::DOUBLE AS distance FROM nation a, nation b")
@@ -481,11 +480,10 @@ def fiedler_split(spark, sf):
     return _sides(spark, graph.fiedler(range(N_TABLE), _pairs()))
 
 
-@query("SELECT n_nationkey AS v, n_nationkey <= 9 AS is_left FROM nation WHERE n_nationkey < 20")
+@query("SELECT n_nationkey AS v, n_nationkey <= 11 AS is_left FROM nation")
 def most_even_cut(spark, sf):
-    import numpy as np
-
-    return _sides(spark, graph.graph_split(range(20), _pairs(), 4, np.random.default_rng(1)))
+    """The chain of nations with the last one moved to the middle, so that one cut is the most even."""
+    return _sides(spark, graph.graph_split(range(N_TABLE), [*_pairs()[:-1], (12, N_TABLE - 1)], 4, np.random.default_rng(1)))
 
 
 @query("SELECT n_nationkey AS v, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS component FROM nation")
@@ -520,7 +518,7 @@ def fit_recovers_means(spark, sf):
 @query("SELECT DISTINCT l_linenumber, true AS close FROM lineitem")
 def probit_recovers_shares(spark, sf):
     """Does a binary fit of a label that follows the line number give its share?"""
-    f = _t(spark, sf, "lineitem").where("l_orderkey < 2000").selectExpr("CAST(l_linenumber - 1 AS INT) AS line", "CAST(l_linenumber > 4 AS INT) AS y", "0 AS chain")
+    f = _t(spark, sf, "lineitem").selectExpr("CAST(l_linenumber - 1 AS INT) AS line", "CAST(l_linenumber > 4 AS INT) AS y", "0 AS chain")
     fits = sampler.fit_chains(f, "y", [], ["line"], sampler.Design([], [7]), probit=True, trees=20, draws=30, burn=60)
     got = sampler.predict_draws(fits, f.select("line").distinct(), "line", [], ["line"], mean_only=True, probit=True)
     return got.select((F.col("line") + 1).cast("int").alias("l_linenumber"), ((F.col("value") > 0.5) == (F.col("line") > 3)).alias("close"))
@@ -551,7 +549,7 @@ def network_probit_fit(spark, sf):
 @query("SELECT 'sparse' AS fit, true AS close")
 def sparse_fit(spark, sf):
     """With the sparse prior, does the one predictor that matters of five get most of the weight?"""
-    f = _t(spark, sf, "lineitem").where("l_orderkey < 800").selectExpr("l_discount * 20 - 1 AS a", "l_tax * 25 - 1 AS b", "l_quantity / 25 - 1 AS c", "l_orderkey / 1000 AS d", "(l_linenumber - 4) / 3 AS e", "l_quantity / 25 AS y", "0 AS chain")
+    f = _t(spark, sf, "lineitem").selectExpr("l_discount * 20 - 1 AS a", "l_tax * 25 - 1 AS b", "l_quantity / 25 - 1 AS c", "l_extendedprice / 200000 AS d", "(l_linenumber - 4) / 3 AS e", "l_quantity / 25 AS y", "0 AS chain")
     trace = sampler.fit_chains(f, "y", list("abcde"), [], sampler.Design([None] * 5), sparse=True, trees=10, draws=40, burn=80, trace=True)
     return summary.kept_draws(trace.drop("draw"), 80).agg((F.avg(F.get("theta", F.lit(2))) > 0.6).alias("close")).select(F.lit("sparse").alias("fit"), "close")
 
@@ -575,6 +573,108 @@ def fit_by_group(spark, sf):
     return got.join(truth, ["l_returnflag", "line"]).groupBy("l_returnflag").agg((F.max(F.abs(F.col("value") - F.col("mean"))) < 1.0).alias("close"))
 
 
+@query("SELECT * FROM (VALUES ('cut', true), ('cut_off_ends', true), ('predictor', true), ('sides', true)) AS c(rule, close)")
+def prior_rules(spark, sf):
+    """Are root rules of the prior spread evenly over the predictors, uniform cuts around 0, listed cuts never at
+    the ends of their list, and level sets never empty?"""
+    design = sampler.Design([None, np.array([-0.9, -0.3, 0.3, 0.9])], [5])
+    roots = forest_text.parse_forest(sampler.sample_prior(spark, design, 4000)).where("nid = 1 AND NOT is_leaf")
+    share = lambda c: F.avg(c.cast("int"))
+    a, b, c = ~F.col("is_cat") & (F.col("var") == 0), ~F.col("is_cat") & (F.col("var") == 1), F.col("is_cat")
+    checks = {
+        "predictor": (F.abs(share(a) - 1 / 3) < 0.03) & (F.abs(share(b) - 1 / 3) < 0.03),
+        "cut": (F.abs(F.avg(F.when(a, F.col("cut")))) < 0.05) & (F.abs(F.stddev_samp(F.when(a, F.col("cut"))) - 3**-0.5) < 0.03),
+        "cut_off_ends": F.bool_and(~b | (F.abs("cut") < 0.5)),
+        "sides": F.bool_and(~c | (F.size("lvals") > 0) & (F.size("rvals") > 0) & (F.size("lvals") + F.size("rvals") == 5)),
+    }
+    one = roots.agg(*(v.alias(k) for k, v in checks.items()))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(k).alias("close")) for k in sorted(checks)))).alias("r")).select("r.*")
+
+
+@query("SELECT range::INT AS cut_type, true AS close FROM range(8)")
+def network_prior(spark, sf):
+    """On a chain of levels, is a side of every root rule of each cut type one stretch of the chain?"""
+    out = None
+    for kind in range(8):
+        design = sampler.Design([], [12], {0: [(i, i + 1) for i in range(11)]}, kind)
+        roots = forest_text.parse_forest(sampler.sample_prior(spark, design, 60)).where("nid = 1 AND NOT is_leaf")
+        stretch = lambda c: F.array_max(c) - F.array_min(c) + 1 == F.size(c)
+        # Random weights may cut a chain in more than two places by the signs of their vector, but rarely.
+        one = roots.agg((F.avg((stretch("lvals") & stretch("rvals")).cast("int")) >= (0.9 if kind in (0, 2, 7) else 1.0)).alias("close")).select(F.lit(kind).alias("cut_type"), "close")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT 'sigma' AS fit, true AS close")
+def noise_draws(spark, sf):
+    """Balances follow nothing: is the noise of their fit near their standard deviation?"""
+    f = encode.cells(_t(spark, sf, "customer").withColumn("chain", F.lit(0)), "c_acctbal", "chain", "c_nationkey")
+    fits = sampler.fit_chains(f, "c_acctbal", [], ["c_nationkey"], sampler.Design([], [N_TABLE]), trees=20, draws=40, burn=40, cells=True)
+    sd = _t(spark, sf, "customer").agg(F.stddev_samp("c_acctbal").alias("sd"))
+    return fits.where("tree = 0").agg(F.avg("sigma").alias("sigma")).crossJoin(sd).select(F.lit("sigma").alias("fit"), (F.abs(F.col("sigma") / F.col("sd") - 1) < 0.15).alias("close"))
+
+
+@query("SELECT DISTINCT l_linenumber, true AS close FROM lineitem")
+def summary_with_noise(spark, sf):
+    """With noise of 2, do 95 % intervals of draws that hardly vary have a width of about 4 times 1.96?"""
+    draws = _t(spark, sf, "lineitem").groupBy("l_linenumber").agg(F.avg("l_discount").alias("value")).join(spark.range(4000).withColumnRenamed("id", "draw"))
+    got = summary.summarize(draws, "l_linenumber", sigma=spark.range(4000).select(F.col("id").alias("draw"), F.lit(2.0).alias("sigma")))
+    return got.select("l_linenumber", (F.abs((F.col("upper") - F.col("lower")) / (4 * 1.96) - 1) < 0.08).alias("close"))
+
+
+@query("SELECT tree, nid::BIGINT AS nid, rvals, complement FROM (VALUES (0, 3, '1,2', '1,2'), (1, 1, '0,2', '0,2')) AS c(tree, nid, rvals, complement)")
+def level_complement(spark, sf):
+    """The right side of a rule on levels: those available that the left side lacks."""
+    rules = _nodes(spark).where("is_cat")
+    rest = F.array_except(F.sequence(F.lit(0), F.col("k") - 1), "lvals")
+    return rules.select("tree", "nid", F.array_join("rvals", ",").alias("rvals"), F.array_join(rest, ",").alias("complement"))
+
+
+# Files, written to the shared folder first
+
+
+def _written(spark, df: DataFrame, kind: str, **options) -> str:
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    df.coalesce(1).write.options(**options).format(kind).save(path)
+    return path
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def read_csv(spark, sf):
+    n = _t(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return readers.read_csv(spark, _written(spark, n, "csv"), "n_nationkey int, n_name string, n_regionkey int")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def read_csv_inferred(spark, sf):
+    n = _t(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return readers.read_csv(spark, _written(spark, n, "csv", header=True), header=True)
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey > 0 THEN n_regionkey::DOUBLE END AS x, n_name || ' of ' || n_regionkey AS n_name FROM nation")
+def read_whitespace(spark, sf):
+    lines = _t(spark, sf, "nation").selectExpr("concat(n_nationkey, '   ', if(n_regionkey > 0, CAST(n_regionkey AS STRING), '?'), '  \"', n_name, ' of ', n_regionkey, '\"') AS value")
+    return readers.read_whitespace(spark, _written(spark, lines, "text"), "n_nationkey int, x double, n_name string")
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_nationkey > 2")
+def read_after_preamble(spark, sf):
+    lines = _t(spark, sf, "nation").orderBy("n_nationkey").selectExpr("CAST(n_nationkey AS STRING) AS value")
+    return readers.read_whitespace(spark, _written(spark, lines, "text"), "n_nationkey int", skip=3)
+
+
+@query("SELECT (n_nationkey // 4)::BIGINT AS record, string_agg(n_nationkey || ' ' || n_regionkey, ' ' ORDER BY n_nationkey) AS fields FROM nation GROUP BY 1")
+def read_records(spark, sf):
+    lines = _t(spark, sf, "nation").orderBy("n_nationkey").selectExpr("concat(n_nationkey, ' ', n_regionkey) AS value")
+    return readers.read_records(spark, _written(spark, lines, "text"), 4).select("record", F.array_join("fields", " ").alias("fields"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def bind_columns(spark, sf):
+    n = _t(spark, sf, "nation")
+    return readers.bind_columns(n.select("n_nationkey", "n_name").repartition(3), n.select("n_nationkey", "n_regionkey").repartition(5), "n_nationkey")
+
+
 # Streams
 
 
