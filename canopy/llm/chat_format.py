@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,7 @@ def tokenizer(path: str):
 def format_conversation(turns: list[tuple[str, str]], path: str) -> Formatted:
     text, spans = render(turns)
     e = tokenizer(path).encode(text, add_special_tokens=False)
-    offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
+    offsets = np.fromiter(chain.from_iterable(e.offsets), np.int64).reshape(-1, 2)
     edges = np.array(spans, np.int64).reshape(-1, 2)
     first = np.searchsorted(offsets[:, 1], edges[:, 0], "right")
     after = np.searchsorted(offsets[:, 0], edges[:, 1], "left")
