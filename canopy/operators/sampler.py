@@ -7,6 +7,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from statistics import NormalDist
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -298,9 +299,11 @@ def fit_chains(frame: DataFrame, y: str, cont: list[str], cat: list[str], design
     if cells and (probit or any(c is None for c in design.cutpoints)):
         raise ValueError("cells stand for rows in Gaussian fits on discrete cutpoints only")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    names = [*keys, "sweep", "draw", "sigma", "accepted", "theta", "counts", "axis_tried", "level_tried", "axis_refused", "level_refused"] if trace else [*keys, "draw", "tree", "text", "y_mean", "y_sd", "sigma", "counts"]
+
+    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weight, within = None, 0.0
-        pdf = pdf.sort_values([*cont, *cat, *(["n", "sum_y", "sum_yy"] if cells else [y])], kind="stable", ignore_index=True)
+        pdf = pd.concat(list(batches)).sort_values([*cont, *cat, *(["n", "sum_y", "sum_yy"] if cells else [y])], kind="stable", ignore_index=True)
         if cells:
             pdf = pdf[pdf["n"] > 0]
             weight, total, squares = (pdf[c].to_numpy(float) for c in ("n", "sum_y", "sum_yy"))
@@ -324,16 +327,13 @@ def fit_chains(frame: DataFrame, y: str, cont: list[str], cat: list[str], design
             spread = (float(pdf["high"].max()) - float(pdf["low"].min())) / sd if cells else float(std.max() - std.min())
             prior.tau = spread / (4 * trees**0.5)
         own = seed + int(pd.util.hash_array(np.array(["|".join(map(str, key))], object))[0] % (1 << 31))
-        out = []
-        every = run_chain(pdf, y, cont, cat, design, prior, probit, draws, burn, thin, own, weight, within, print_every)
-        if trace:
-            out = [(*key, i, draw, c.sigma * sd, c.accepted, c.theta.tolist(), c.counts.tolist(), *c.tried.tolist(), *c.refused.tolist()) for i, (draw, c) in enumerate(every)]
-            return pd.DataFrame(out, columns=[*keys, "sweep", "draw", "sigma", "accepted", "theta", "counts", "axis_tried", "level_tried", "axis_refused", "level_refused"]).astype({"draw": "Int32"})
-        for draw, c in every:
-            if draw is None:
-                continue
-            out += [(*key, draw, m, write_tree(t), mean, sd, c.sigma * sd, c.counts.tolist()) for m, t in enumerate(c.trees)]
-        return pd.DataFrame(out, columns=[*keys, "draw", "tree", "text", "y_mean", "y_sd", "sigma", "counts"])
+        # Draws leave the task one by one, so that none waits for the last.
+        for sweep, (draw, c) in enumerate(run_chain(pdf, y, cont, cat, design, prior, probit, draws, burn, thin, own, weight, within, print_every)):
+            if trace:
+                rows = [(*key, sweep, draw, c.sigma * sd, c.accepted, c.theta.tolist(), c.counts.tolist(), *c.tried.tolist(), *c.refused.tolist())]
+                yield pd.DataFrame(rows, columns=names).astype({"draw": "Int32"})
+            elif draw is not None:
+                yield pd.DataFrame([(*key, draw, m, write_tree(t), mean, sd, c.sigma * sd, c.counts.tolist()) for m, t in enumerate(c.trees)], columns=names)
 
     kinds = ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keys)
     if trace:
