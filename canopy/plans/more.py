@@ -696,8 +696,8 @@ def stream_score(spark, sf):
     return _drained(spark, scoring.score_stream(rows, _forest(), *ARGS).select(*KEY, "score"))
 
 
-@query("SELECT date_trunc('day', ts) AS day, event_type, count(value) AS n, round(sum(value), 4) AS sum_y, round(sum(value * value), 4) AS sum_yy FROM events GROUP BY 1, 2")
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(value) AS n, round(sum(value), 4) AS sum_y, round(sum(value * value), 4) AS sum_yy FROM events GROUP BY 1, 2")
 def stream_cells(spark, sf):
     cells = scoring.cell_stream(_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "365 days", "1 day", "value", "event_type")
-    flat = cells.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("sum_y", 4).alias("sum_y"), F.round("sum_yy", 4).alias("sum_yy"))
+    flat = cells.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("sum_y", 4).alias("sum_y"), F.round("sum_yy", 4).alias("sum_yy"))
     return _drained(spark, flat, "complete")
