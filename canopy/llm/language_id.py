@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from canopy.llm.shared import SLICE, as_bytes, crc_part, enough, mix, quoted, table, unit
+from canopy.llm.shared import SLICE, as_bytes, crc_part, enough, mix, quoted, small_batches, table, unit
 
 BITS = 12
 PER_LANG = 400  #: bound of the training sample, for each language
@@ -181,7 +181,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
                         lang[low + i], score[low + i] = a, float(b)
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
-    return docs.select(*(F.col(quoted(c)) for c in keep if c.lower() != out.lower()), run(F.col(quoted(text))).alias(out))
+    return small_batches(docs).select(*(F.col(quoted(c)) for c in keep if c.lower() != out.lower()), run(F.col(quoted(text))).alias(out))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from canopy.llm.shared import ASCII_LOWER, as_bytes, byte_rows, durable, erase, mix, quoted, table, windows, word_hashes, written
+from canopy.llm.shared import ASCII_LOWER, as_bytes, byte_rows, durable, erase, mix, quoted, small_batches, table, tidy, windows, word_hashes, written
 
 BANDS = 36
 PIVOTS = 1  #: rounds of comparing the members of a bucket with a random one of them
@@ -80,7 +80,7 @@ def sketches(docs: DataFrame, n: int, rows: int) -> DataFrame:
                 bands.append(keys.view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, k) for c, k in zip((size, print_, sig, bands), kinds[2:], strict=True))], names)
 
-    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, n_shingles long, fp binary, sig binary, bands array<long>")
+    return small_batches(docs).select("doc_id", text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, n_shingles long, fp binary, sig binary, bands array<long>")
 
 
 def among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
@@ -170,10 +170,12 @@ def connect(links: DataFrame) -> DataFrame:
     while True:
         both = edges.select("u", "v").union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select("v", "u", "m")
-        edges = durable(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct())
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # The least neighbour of u is one of v, so that the pairs (u, m) come with those of v.
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = durable(small.distinct())
+        tidy(edges.sparkSession)
         after = mark(edges)
         if after == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
@@ -199,14 +201,12 @@ def linked(docs: DataFrame, n: int, percent: int, rows: int, by_id: bool) -> tup
     same = of.join(shared.select("doc_id", "a"), "doc_id").select("a", F.col("id").alias("b")).where("a <> b").distinct()
     same = durable(same if by_id else same.limit(0))
 
-    banded = reps.select("id", "key", "low", F.explode("bands").alias("band"))
-    size = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    members, members_at = written(banded.join(size, "band"))
+    banded = reps.select("id", "low", F.explode("bands").alias("band"))
+    shared_bands = banded.join(banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "band")
     # The original of a family shares more and larger buckets than its copies do with each other.
-    shares = members.groupBy("id").agg(F.sum("size").alias("share"))
-    central, central_at = written(members.select("band", "id").join(shares, "id"))
+    members, members_at = written(shared_bands.withColumn("share", F.sum("size").over(Window.partitionBy("id"))).drop("size"))
     own = docs.select(text_key().alias("key"), "text")
-    texts, texts_at = written(among(own, "key", members.select("key").distinct()).dropDuplicates(["key"]))
+    texts, texts_at = written(among(own, "key", reps.join(members.select("id").distinct(), "id", "left_semi").select("key")).dropDuplicates(["key"]))
     check = lambda pairs: verified(pairs, reps, texts, n, percent, BANDS * rows)
     middle = lambda m: m.groupBy("band").agg(F.max(F.struct("share", (-F.col("id")).alias("last"), *(["c"] if "c" in m.columns else []))).alias("p"))
     lead = members.groupBy("band").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "id")).alias("lead"))
@@ -214,18 +214,17 @@ def linked(docs: DataFrame, n: int, percent: int, rows: int, by_id: bool) -> tup
     found = connect(same.union(check(star.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")))))
     for _ in range(PIVOTS):
         # Every bucket compares what its pivot's component lacks with the pivot, which is the most central of those
-        # outside the lead's component: one pair per member at most.
-        known, known_at = written(central.join(found, "id", "left").select("band", "id", "share", F.coalesce("component", "id").alias("c")))
+        # outside the component of the most central of all: one pair per member at most.
+        known, known_at = written(members.join(found, "id", "left").select("band", "id", "share", F.coalesce("component", "id").alias("c")))
         outside = known.join(middle(known).select("band", F.col("p.c").alias("first")), "band").where("c <> first").drop("first")
         pivot = middle(outside).select("band", (-F.col("p.last")).alias("pivot"), F.col("p.c").alias("pc"))
         met = known.join(pivot, "band").where("c <> pc").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         found = extended(found, check(met))
         erase(spark, known_at)
-    erase(spark, central_at)
 
-    known = members.join(found, "id", "left").select("band", "id", "key", F.coalesce("component", "id").alias("c"))
-    split = known.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band")
-    nodes = durable(known.join(split, "band").select("id", "key", "c").distinct())
+    known = members.join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+    split = known.groupBy("band").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("band")
+    nodes = durable(known.join(split, "band").select("id", "c").distinct().join(reps.select("id", "key"), "id"))
     erase(spark, members_at)
     found = extended(found, check(prefix_pairs(texts, nodes, n, percent)))
     erase(spark, texts_at)

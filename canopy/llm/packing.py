@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.shared import column_bytes, durable, table
+from canopy.llm.shared import column_bytes, durable, small_batches, table
 from canopy.llm.token_ids import word_encoder, word_path
 
 LIMIT, CLOSING = 4096, 1
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", limit: int
                 lo = hi
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECE)
+    return small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECE)
 
 
 def place(lengths: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.shared import as_bytes, byte_rows, fresh, quoted, spans_hash, table, windows, word_spans
+from canopy.llm.shared import as_bytes, byte_rows, fresh, quoted, small_batches, spans_hash, table, windows, word_spans
 
 SYMBOLS = b"#*$%&|<>"
 #: Largest share of word characters inside repeated n-grams, by n-gram length, for a kept text.
@@ -121,7 +121,7 @@ def measures(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     """The columns named in ``keep`` (all by default) and a struct ``out`` of the measures; a column of that name
     gives way to it."""
     keep = docs.columns if keep is None else keep
-    return docs.select(*(F.col(quoted(c)) for c in keep if c.lower() != out.lower()), measured(F.col(quoted(text))).alias(out))
+    return small_batches(docs).select(*(F.col(quoted(c)) for c in keep if c.lower() != out.lower()), measured(F.col(quoted(text))).alias(out))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 #: The white space that ends a word: space, and tab to carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
 SLICE = 1 << 16  #: bytes of a text that are hashed at once, so that no table grows with a text
+TEXT_BATCH = 2000  #: most texts that a worker is sent at once
 LONG = 512  #: spans of more bytes are hashed one by one, by blake2b
 _IS_SPACE = np.isin(np.arange(256), list(SPACES))
 _IS_WORD = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
@@ -123,7 +124,15 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def tidy(spark: SparkSession) -> None:
+    """Asks for a collection of the driver's garbage: then Spark deletes the shuffle files that nothing reads again,
+    which in a loop would stay until the driver runs short of memory."""
+    spark._jvm.System.gc()
+
+
 def erase(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder, and shuffle files with it."""
+    tidy(spark)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -169,5 +178,14 @@ def fresh(taken: list[str], name: str) -> str:
     return name
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bounds the Arrow batches of the session to TEXT_BATCH rows, for texts take kilobytes each where the usual
+    bound of 10,000 rows has numbers in mind."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= TEXT_BATCH:
+        df.sparkSession.conf.set(key, str(TEXT_BATCH))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from canopy.llm.shared import quoted, table
+from canopy.llm.shared import quoted, small_batches, table
 
 
 def rank_path() -> str:
@@ -45,7 +45,7 @@ def lengths(docs: DataFrame, text: str = "text", path: str | None = None) -> Dat
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([len(encode(t.as_py())) if t.is_valid else 0 for t in batch.column(0)], pa.int64())], ["length"])
 
-    return docs.select(F.col(quoted(text))).mapInArrow(run, "length long")
+    return small_batches(docs).select(F.col(quoted(text))).mapInArrow(run, "length long")
 
 
 def length_histogram(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.shared import BASE, as_bytes, column_bytes, crc_part, enough, fresh, mix, quoted, spans_hash, table, unit, word_spans
+from canopy.llm.shared import BASE, as_bytes, column_bytes, crc_part, enough, fresh, mix, quoted, small_batches, spans_hash, table, unit, word_spans
 
 BITS = 21
 STEMS = (4, 5, 6)  #: bytes of a word's start that stand for its inflected forms
@@ -100,7 +100,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
             s = np.array([w[features(t.as_py())].sum(dtype=np.float64) for t in some], float)
             yield pa.array(1 / (1 + np.exp(-np.clip(s + bias, -30, 30))), pa.float64())
 
-    return docs.select(*(F.col(quoted(c)) for c in keep if c.lower() != out.lower()), run(F.col(quoted(text))).alias(out))
+    return small_batches(docs).select(*(F.col(quoted(c)) for c in keep if c.lower() != out.lower()), run(F.col(quoted(text))).alias(out))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
