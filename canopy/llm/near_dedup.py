@@ -251,6 +251,21 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+e AS (SELECT id, doc_id, len(w) AS k, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+x AS (SELECT id, doc_id, k, i, string_agg(word, ' ') OVER (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS s FROM e),
+g AS (SELECT DISTINCT id, doc_id, s FROM x WHERE i <= greatest(k - 2, 1)),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+met AS (SELECT a.id AS x, b.id AS y, any_value(a.doc_id) AS a, any_value(b.doc_id) AS b, count(*) AS c FROM g a JOIN g b USING (s) WHERE a.id < b.id AND a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL GROUP BY a.id, b.id),
+near AS (SELECT DISTINCT a, b FROM met JOIN n p ON p.id = x JOIN n q ON q.id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+edge AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+reach(a, b) AS (SELECT DISTINCT doc_id, doc_id FROM d WHERE doc_id IS NOT NULL UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+low AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(d.doc_id = component_id, true) AS kept FROM d LEFT JOIN n USING (id) LEFT JOIN low ON low.doc_id = d.doc_id
+"""
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that of the smallest doc_id, nulls last, and then of the smallest hash of
     its columns. Repeated rows are one document. Rows without words stay, repeated ones once."""

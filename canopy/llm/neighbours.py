@@ -345,3 +345,13 @@ def search(vectors: DataFrame, query: Callable[[Column], Column], top: int = TOP
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda i: i % 20 == 0)
+
+
+#: Every query against every row. The operator gives the same rows while a table has one part, that is up to
+#: ROWS_PER_PART vectors; of larger tables it finds the measured share.
+OP6_SQL = f"""
+WITH e AS (SELECT DISTINCT vec_id::BIGINT AS vec_id, [x::DOUBLE for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0),
+p AS (SELECT q.vec_id AS query_id, q.v AS own, c.vec_id, list_reduce([q.v[i] * c.v[i] for i in range(1, len(q.v) + 1)], lambda a, b: a + b) AS score
+  FROM e q JOIN e c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, own ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= {TOP}"""

@@ -129,6 +129,34 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumn("base_failed", base_failed()).withColumn("kept", verdict())
 
 
+def sql() -> str:
+    """Every window and line of every text, compared as itself."""
+    word, shares = r"[^\x20\x09-\x0D]+", ", ".join(f"coalesce(max(chars) FILTER (WHERE n = {n}), 0) / any_value(nullif(word_chars, 0)) AS cover_{n}" for n in COVERAGE)
+    covers = ", ".join(f"coalesce(cover_{n}, 0.0)::DOUBLE AS cover_{n}" for n in COVERAGE)
+    sizes = (3, *COVERAGE)
+    grams = ", ".join(f"string_agg(word, ' ') OVER (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS g{n}" for n in sizes)
+    each = " UNION ALL ".join(f"SELECT id, {n} AS n, i, g{n} AS gram FROM x WHERE rest >= {n}" for n in sizes)
+    limits = " OR ".join(f"cover_{n} > {most}" for n, most in COVERAGE.items())
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
+e AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+s AS (SELECT id, sum(length(word))::BIGINT AS word_chars, count(*) FILTER (WHERE NOT regexp_matches(word, '[a-z]') AND length(regexp_replace(word, '[^A-Z]', '', 'g')) >= 2) AS loud FROM e GROUP BY id),
+x AS (SELECT id, i, count(*) OVER (PARTITION BY id) - i + 1 AS rest, {grams} FROM e),
+g AS ({each}),
+r AS (SELECT id, n, i FROM (SELECT id, n, i, count(*) OVER (PARTITION BY id, n, gram) AS c FROM g) WHERE c > 1),
+c AS (SELECT DISTINCT id, n, i + k AS i FROM r, range(0, 10) AS x(k) WHERE k < n),
+v AS (SELECT id, n, count(*) AS words, sum(length(word)) AS chars FROM c JOIN e USING (id, i) GROUP BY id, n),
+l AS (SELECT id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d),
+o AS (SELECT id, line, row_number() OVER (PARTITION BY id, line ORDER BY k) AS again FROM l WHERE regexp_matches(line, '{word}')),
+u AS (SELECT id, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS dup_chars FROM o WHERE again > 1 GROUP BY id),
+a AS (SELECT d.id, any_value(doc_id) AS doc_id, any_value(len(w))::BIGINT AS n_words, coalesce(any_value(word_chars), 0) AS word_chars, any_value(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  coalesce(any_value(n_dup_lines), 0) AS n_dup_lines, coalesce(max(words) FILTER (WHERE n = 3), 0) AS n_repeat_words, coalesce(any_value(dup_chars) / any_value(nullif(word_chars, 0)), 0.0)::DOUBLE AS dup_line_share,
+  coalesce(any_value(loud) / nullif(any_value(len(w)), 0), 0.0)::DOUBLE AS shouted_share, {shares}
+  FROM d LEFT JOIN s USING (id) LEFT JOIN v USING (id) LEFT JOIN u USING (id) GROUP BY d.id),
+m AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, dup_line_share, shouted_share, {covers}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
+SELECT *, NOT (base_failed OR dup_line_share > {LINE_COVERAGE} OR n_symbols > {SYMBOLS_PER_WORD}::DOUBLE * n_words OR shouted_share > {SHOUTED} OR {limits}) AS kept FROM m"""
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, with all of their columns. Null and empty texts go, repeated rows go or stay
     together, no rows give no rows."""

@@ -14,4 +14,11 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
-SQL = {"op1_chat_formatting": chat_format.OP1_SQL, "op3_license_scan": license_scan.sql(), "op8_mixing": mixing.sql()}
+SQL = {
+    "op1_chat_formatting": chat_format.OP1_SQL,
+    "op3_license_scan": license_scan.sql(),
+    "op6_nearest_neighbours": neighbours.OP6_SQL,
+    "op7_quality_rules": quality_rules.sql(),
+    "op8_mixing": mixing.sql(),
+    "op10_near_dedup": near_dedup.OP10_SQL,
+}

@@ -31,7 +31,7 @@ def test_chat_round_trip(spark):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_against_sql(spark, name):
     db, sql = duckdb.connect(), queries.SQL[name]
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     assert Counter(map(tuple, got.collect())) == Counter(db.sql(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall())
@@ -545,7 +545,7 @@ def test_queries_take_odd_tables(spark, tmp_path):
                 assert len(got) == n, (q, name)
             if q in queries.SQL:
                 db = duckdb.connect()
-                for t in ("documents", "conversations"):
+                for t in ("documents", "conversations", "embeddings"):
                     db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet/*.parquet'")
                 columns = f(spark, at).columns
                 assert Counter(map(tuple, got)) == Counter(db.sql(f"SELECT {', '.join(columns)} FROM ({queries.SQL[q]})").fetchall()), (q, name)
