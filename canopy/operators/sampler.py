@@ -23,6 +23,8 @@ from canopy.sources.forest_text import read_tree, write_tree
 NU, LAMBDA = 3.0, 0.19479145805172773
 #: Bytes of forest text that are broadcast at once; larger fits are applied in several passes over the rows.
 FOREST_BYTES = 1 << 28
+#: As many truncated normals are drawn one by one, and of many at most as many at once.
+SINGLE_DRAWS, BLOCK = 1 << 12, 1 << 20
 log = logging.getLogger(__name__)
 
 
@@ -118,14 +120,41 @@ def normal_above(low: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return out
 
 
+def normal_sum(low: float, n: int, rng: np.random.Generator) -> float:
+    """The sum of n standard normals given that each exceeds ``low``, without drawing each of many. Their density over
+    bins of one width is a flat part, up to its smallest value in the bin, and a thin rest. How many fall into each is
+    multinomial; places in flat parts are uniform, so their sum comes from binomials of the bits of uniforms; those in
+    the rest and beyond the bins are drawn one by one, by rejection. The sum has the distribution of n single draws."""
+    if n <= SINGLE_DRAWS or low > 30:
+        return sum(float(normal_above(np.full(min(BLOCK, n - a), low), rng).sum()) for a in range(0, n, BLOCK))
+    scale = 1 / max(1.0, low)
+    h = scale / 2 ** min(max(n.bit_length() // 2 - 2, 8), 14)  # about as many bins as draws from the rest
+    edges = low + h * np.arange(math.ceil((max(low, 0.0) + 8 * scale - low) / h) + 1)
+    f = lambda x: np.exp(-0.5 * x * x) / math.sqrt(2 * math.pi)
+    ends = f(edges)
+    least, most = np.minimum(ends[:-1], ends[1:]), np.maximum(ends[:-1], ends[1:])
+    most[(edges[:-1] < 0) & (edges[1:] > 0)] = f(0.0)
+    above = 0.5 * np.frompyfunc(math.erfc, 1, 1)(edges / 2**0.5).astype(float)
+    share = np.concatenate([h * least, np.maximum(above[:-1] - above[1:] - h * least, 0.0), above[-1:]])
+    counts = rng.multinomial(n, share / share.sum())
+    bins = len(edges) - 1
+    flat, rest, beyond = counts[:bins], counts[bins:-1], int(counts[-1])
+    total = float(flat @ edges[:-1]) + h * float(rng.binomial(int(flat.sum()), 0.5, 53) @ 0.5 ** np.arange(1, 54))
+    todo = np.repeat(np.arange(bins), rest)
+    while len(todo):
+        x = edges[todo] + h * rng.random(len(todo))
+        good = rng.random(len(todo)) * (most - least)[todo] <= f(x) - least[todo]
+        total += float(x[good].sum())
+        todo = todo[~good]
+    return total + float(normal_above(np.full(beyond, edges[-1]), rng).sum())
+
+
 class Chain:
     """State of one chain: trees, the place of every row's leaf in every tree, and the residual of the whole fit.
     A row may be a cell of ``weight`` rows with mean y, and ``within`` the squares around the means of all cells.
     A tree's leaves have places from 0 on, by which their node ids, values and counts stand in arrays."""
 
     def __init__(self, cont: np.ndarray | None, cat: np.ndarray | None, y: np.ndarray, design: Design, prior: Prior, probit: bool, seed: int, weight: np.ndarray | None = None, within: float = 0.0):
-        if probit and weight is not None:
-            raise ValueError("the latent responses of a binary fit are drawn by rows, not cells")
         if cont is not None and np.isnan(cont).any():
             raise ValueError("continuous predictors hold missing values")
         for v, cuts in enumerate(design.cutpoints):
@@ -156,7 +185,13 @@ class Chain:
         return [Tree(t.rules, dict(zip(n, v.tolist(), strict=True))) for t, n, v in zip(self.rules, self.nids, self.mu, strict=True)]
 
     def latent(self) -> None:
-        """Draws a unit-variance normal on the side of 0 that each response names."""
+        """Draws a unit-variance normal on the side of 0 that each response names; for a cell, the mean of those of
+        its rows, which is all that trees and leaves depend on."""
+        if self.weight is not None:
+            for i, (n, share, fit) in enumerate(zip(self.weight.tolist(), self.y.tolist(), self.fit.tolist(), strict=True)):
+                ones = round(n * share)
+                self.target[i] = fit + (normal_sum(-fit, ones, self.rng) - normal_sum(fit, int(n) - ones, self.rng)) / n
+            return
         side = np.where(self.y > 0, 1.0, -1.0)
         self.target = self.fit + side * normal_above(-side * self.fit, self.rng)
 
@@ -294,10 +329,10 @@ def fit_chains(frame: DataFrame, y: str, cont: list[str], cat: list[str], design
     instead: (keys, sweep, draw, sigma, accepted, theta, counts) and the proposals to grow on axes and on levels
     and how many of each were refused, draw null on sweeps not kept. Responses are standardised within a group
     unless ``probit``. With ``cells`` a row is a cell of equal predictors, (n, sum_y, sum_yy, low, high) of
-    ``encode.cells``, and the fit is that of all their rows. Rows are put in order first, so that a seed fixes
+    ``encode.cells``, and the fit is that of all their rows, binary ones included. Rows are put in order first, so that a seed fixes
     the result. ``print_every`` sweeps a line goes to the task's log."""
-    if cells and (probit or any(c is None for c in design.cutpoints)):
-        raise ValueError("cells stand for rows in Gaussian fits on discrete cutpoints only")
+    if cells and any(c is None for c in design.cutpoints):
+        raise ValueError("cells stand for rows in fits on discrete cutpoints only")
 
     names = [*keys, "sweep", "draw", "sigma", "accepted", "theta", "counts", "axis_tried", "level_tried", "axis_refused", "level_refused"] if trace else [*keys, "draw", "tree", "text", "y_mean", "y_sd", "sigma", "counts"]
 
@@ -309,20 +344,24 @@ def fit_chains(frame: DataFrame, y: str, cont: list[str], cat: list[str], design
             weight, total, squares = (pdf[c].to_numpy(float) for c in ("n", "sum_y", "sum_yy"))
             pdf = pdf.assign(**{y: total / weight})
         v = pdf[y].to_numpy(float)
-        if probit and not np.isin(v, (0, 1)).all():
+        # Squares of values from 0 to 1 are smaller, unless they are 0 or 1.
+        binary = (pdf["low"].min() >= 0 and pdf["high"].max() <= 1 and (total == squares).all()) if cells else np.isin(v, (0, 1)).all()
+        if probit and not binary:
             raise ValueError("a binary response holds 0 and 1 alone")
-        if cells:
+        if probit:
+            mean, sd = 0.0, 1.0
+        elif cells:
             mean = float(total.sum() / weight.sum())
             inner = max(0.0, float((squares - weight * v * v).sum()))
             sd = math.sqrt((inner + float(weight @ (v - mean) ** 2)) / (weight.sum() - 1))
             within = inner / sd**2
         else:
-            mean, sd = (0.0, 1.0) if probit else (float(v.mean()), float(v.std(ddof=1)))
+            mean, sd = float(v.mean()), float(v.std(ddof=1))
         pdf = pdf.assign(**{y: (v - mean) / sd})
         std = pdf[y].to_numpy()
         prior = Prior(trees=trees, sparse=sparse)
         if probit:
-            prior.tau, prior.mu0 = trees**-0.5, NormalDist().inv_cdf(min(max(float(v.mean()), 1e-6), 1 - 1e-6)) / trees
+            prior.tau, prior.mu0 = trees**-0.5, NormalDist().inv_cdf(min(max(float(np.average(v, weights=weight)), 1e-6), 1 - 1e-6)) / trees
         else:
             spread = (float(pdf["high"].max()) - float(pdf["low"].min())) / sd if cells else float(std.max() - std.min())
             prior.tau = spread / (4 * trees**0.5)

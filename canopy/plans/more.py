@@ -519,7 +519,7 @@ def fit_recovers_means(spark, sf):
 def probit_recovers_shares(spark, sf):
     """Does a binary fit of a label that follows the line number give its share?"""
     f = _t(spark, sf, "lineitem").selectExpr("CAST(l_linenumber - 1 AS INT) AS line", "CAST(l_linenumber > 4 AS INT) AS y", "0 AS chain")
-    fits = sampler.fit_chains(f, "y", [], ["line"], sampler.Design([], [7]), probit=True, trees=20, draws=30, burn=60)
+    fits = sampler.fit_chains(encode.cells(f, "y", "chain", "line"), "y", [], ["line"], sampler.Design([], [7]), probit=True, trees=20, draws=30, burn=60, cells=True)
     got = sampler.predict_draws(fits, f.select("line").distinct(), "line", [], ["line"], mean_only=True, probit=True)
     return got.select((F.col("line") + 1).cast("int").alias("l_linenumber"), ((F.col("value") > 0.5) == (F.col("line") > 3)).alias("close"))
 

@@ -46,3 +46,30 @@ def test_predictions_from_stored_draws(spark):
     assert len(trace) == 50 and trace["draw"].notna().sum() == 10 and all(abs(sum(t) - 1) < 1e-9 for t in trace["theta"])
     kept = fits.toPandas().groupby("draw")["sigma"].first()
     assert np.allclose(trace.dropna(subset="draw").set_index("draw")["sigma"].to_numpy(float), kept)
+
+
+@pytest.mark.parametrize("low", [-3.0, -0.2, 0.7, 4.0])
+def test_sums_of_many_truncated_normals(low):
+    rng, n, times = np.random.default_rng(9), 20_000, 300
+    got = np.array([sampler.normal_sum(low, n, rng) for _ in range(times)])
+    one = sampler.normal_above(np.full(1_000_000, low), rng)
+    z = (got - n * one.mean()) / (one.std() * n**0.5)  # the mean of a million is off by 0.14 of these at most, nearly surely 0.42
+    assert abs(z.mean()) < 0.6 and 0.85 < z.std() < 1.15
+    assert sampler.normal_sum(low, 0, rng) == 0
+
+
+def test_binary_fit_of_cells(spark):
+    """Cells of a number of rows that no task could hold: probabilities are near the shares, so near a half too."""
+    n, shares = 40_000_000, [0.02, 0.5, 0.501, 0.9]
+    cells = spark.createDataFrame([(0, v, n, round(n * s), round(n * s), 0, 1) for v, s in enumerate(shares)], "chain int, level int, n long, sum_y long, sum_yy long, low int, high int")
+    fits = sampler.fit_chains(cells, "y", [], ["level"], sampler.Design([], [4]), probit=True, trees=10, draws=10, burn=40, cells=True)
+    got = sampler.predict_draws(fits, cells, "level", [], ["level"], mean_only=True, probit=True).toPandas().set_index("level")["value"]
+    assert np.allclose(got.sort_index(), shares, atol=0.02)
+    with pytest.raises(Exception, match="0 and 1 alone"):
+        sampler.fit_chains(cells.selectExpr("* EXCEPT (sum_yy)", "sum_y + 1 AS sum_yy"), "y", [], ["level"], sampler.Design([], [4]), probit=True, trees=5, draws=2, burn=2, cells=True).count()
+
+
+def test_binary_cells_fit_as_their_rows(spark):
+    rows = spark.createDataFrame([(0, i % 4, int(i % 7 < 2 * (i % 4))) for i in range(2000)], "chain int, level int, one int")
+    fit = lambda df, **k: sampler.predict_draws(sampler.fit_chains(df, "one", [], ["level"], sampler.Design([], [4]), probit=True, trees=10, draws=100, burn=50, **k), rows.select("level").distinct(), "level", [], ["level"], mean_only=True, probit=True).toPandas().set_index("level")["value"].sort_index()
+    assert np.allclose(fit(rows), fit(encode.cells(rows, "one", "chain", "level"), cells=True), atol=0.02)
