@@ -5,17 +5,19 @@ from __future__ import annotations
 import logging
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from statistics import NormalDist
 from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.operators.forest import FlatForest, Node, Tree
 from canopy.operators.graph import Edges, coin_split, graph_split
+from canopy.operators.lineage import durable
 from canopy.operators.summary import normal_cdf
 from canopy.sources.forest_text import read_tree, write_tree
 
@@ -25,6 +27,12 @@ NU, LAMBDA = 3.0, 0.19479145805172773
 FOREST_BYTES = 1 << 28
 #: As many truncated normals are drawn one by one, and of many at most as many at once.
 SINGLE_DRAWS, BLOCK = 1 << 12, 1 << 20
+#: Boxes times trees of a fit by passes, some 16 bytes each on the driver.
+BOXES = 1 << 24
+#: Rows by distinct predictors from which on a fit by passes sums rows of equal predictors once, before its passes.
+REPEATED = 4.0
+#: Sweeps after which a fit by passes has the driver's JVM drop the plans and shuffle files of those before.
+COLLECT_EVERY = 10
 log = logging.getLogger(__name__)
 
 
@@ -200,17 +208,40 @@ class Chain:
         theta = self.prior.mu0 / self.prior.tau**2 + s / self.sigma**2
         return -0.5 * math.log(precision) + 0.5 * theta * theta / precision
 
-    def move(self, m: int, r: np.ndarray, sums: np.ndarray) -> np.ndarray | None:
-        """Proposes to grow or prune tree m. r is the residual of the whole fit and sums the leaves' sums of
+    def take(self, cont: np.ndarray | None, cat: np.ndarray | None, y: np.ndarray, weight: np.ndarray, within: float) -> None:
+        """Sets the cells that stand for the same rows in the next sweep; no rule in use or proposed may part a cell."""
+        n = len(y)
+        for v, k in enumerate(self.design.levels):
+            if not ((cat[:, v] >= 0) & (cat[:, v] < k)).all():
+                raise ValueError(f"categorical predictor {v} has levels outside 0 to {k - 1}")
+        self.cont = None if cont is None else [np.ascontiguousarray(c) for c in cont.T]
+        self.cat = None if cat is None else [np.ascontiguousarray(c) for c in cat.T]
+        self.y, self.target, self.weight, self.within = y, y.astype(float), weight.astype(float), within
+        self.at, self.fit = np.empty((len(self.rules), n), np.intp), np.zeros(n)
+        for m, (tree, nids, mu) in enumerate(zip(self.rules, self.nids, self.mu, strict=True)):
+            order = np.argsort(nids)
+            self.at[m] = order[np.searchsorted(np.array(nids), tree.route(cont, cat, n), sorter=order)]
+            self.fit += mu[self.at[m]]
+
+    def propose(self, m: int) -> tuple[int, Node | None]:
+        """To grow tree m: the place of a leaf and its rule. To prune it: the node whose leaves go, and None."""
+        tree, nids, rng = self.rules[m], self.nids[m], self.rng
+        if len(nids) == 1 or rng.random() < 0.5:
+            place = int(rng.random() * len(nids))
+            return place, draw_rule(tree, nids[place], self.design, self.theta if self.prior.sparse else None, rng)
+        ends = tree.prunable()
+        return ends[int(rng.random() * len(ends))], None
+
+    def move(self, m: int, r: np.ndarray, sums: np.ndarray, proposed: tuple[int, Node | None] | None = None) -> np.ndarray | None:
+        """Grows or prunes tree m as proposed, or refuses to. r is the residual of the whole fit and sums the leaves' sums of
         residuals without tree m. If the tree changes, r is that without tree m and the new sums are returned."""
         tree, at, nids, size, mu = self.rules[m], self.at[m], self.nids[m], self.size[m], self.mu[m]
         rng, prior = self.rng, self.prior
         fixed = -math.log(prior.tau) - 0.5 * (prior.mu0 / prior.tau) ** 2
         stump = len(nids) == 1
-        if stump or rng.random() < 0.5:
-            place = int(rng.random() * len(nids))
+        place, rule = proposed or self.propose(m)
+        if rule is not None:
             nid = nids[place]
-            rule = draw_rule(tree, nid, self.design, self.theta if prior.sparse else None, rng)
             here = slice(None) if stump else np.flatnonzero(at == place)
             x = (self.cat if rule.is_cat else self.cont)[rule.var][here]
             if rule.is_cat:
@@ -243,8 +274,7 @@ class Chain:
             self.counts[rule.var + (len(self.design.cutpoints) if rule.is_cat else 0)] += 1
             self.accepted += 1
             return np.append(sums, sr)
-        ends = tree.prunable()
-        nid = ends[int(rng.random() * len(ends))]
+        nid, ends = place, tree.prunable()
         a, b = nids.index(2 * nid), nids.index(2 * nid + 1)
         depth, leaves = nid.bit_length() - 1, len(nids)
         log_ratio = math.log(1.0 if nid == 1 else 0.5) - math.log(leaves - 1) - (math.log(0.5) - math.log(len(ends)))
@@ -268,8 +298,9 @@ class Chain:
         self.accepted += 1
         return sums[:-1]
 
-    def step(self) -> None:
-        """One sweep over the trees, the noise and, if asked for, the weights of the predictors."""
+    def step(self, proposed: list[tuple[int, Node | None]] | None = None) -> None:
+        """One sweep over the trees, the noise and, if asked for, the weights of the predictors. A proposal depends on
+        its own tree alone, so those of a sweep may be drawn before it."""
         rng, prior = self.rng, self.prior
         self.accepted, self.tried[:], self.refused[:] = 0, 0, 0
         if self.probit:
@@ -278,7 +309,7 @@ class Chain:
         for m in range(prior.trees):
             at, old = self.at[m], self.mu[m]
             sums = np.bincount(at, r if self.weight is None else self.weight * r, len(old)) + self.size[m] * old
-            changed = self.move(m, r, sums)
+            changed = self.move(m, r, sums, proposed and proposed[m])
             precision = 1 / prior.tau**2 + self.size[m] / self.sigma**2
             mu = (prior.mu0 / prior.tau**2 + (sums if changed is None else changed) / self.sigma**2) / precision
             mu += rng.standard_normal(len(mu)) / np.sqrt(precision)
@@ -321,6 +352,25 @@ def run_chain(pdf: pd.DataFrame, y: str, cont: list[str], cat: list[str], design
         yield (sweep - burn) // thin if sweep >= burn and (sweep - burn) % thin == 0 else None, chain
 
 
+TRACE = {"sweep": "int", "draw": "int", "sigma": "double", "accepted": "int", "theta": "array<double>", "counts": "array<long>", "axis_tried": "int", "level_tried": "int", "axis_refused": "int", "level_refused": "int"}
+FITS = {"draw": "int", "tree": "int", "text": "string", "y_mean": "double", "y_sd": "double", "sigma": "double", "counts": "array<long>"}
+
+
+def _schema(frame: DataFrame, keys: tuple[str, ...], trace: bool) -> str:
+    return ", ".join([*(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keys), *(f"{c} {t}" for c, t in (TRACE if trace else FITS).items())])
+
+
+def _seed(seed: int, key: tuple[Any, ...]) -> int:
+    return seed + int(pd.util.hash_array(np.array(["|".join(map(str, key))], object))[0] % (1 << 31))
+
+
+def _report(key: tuple[Any, ...], sweep: int, draw: int | None, c: Chain, mean: float, sd: float, trace: bool) -> list[tuple]:
+    """The rows that a sweep adds to a trace or to the stored draws."""
+    if trace:
+        return [(*key, sweep, draw, c.sigma * sd, c.accepted, c.theta.tolist(), c.counts.tolist(), *c.tried.tolist(), *c.refused.tolist())]
+    return [] if draw is None else [(*key, draw, m, write_tree(t), mean, sd, c.sigma * sd, c.counts.tolist()) for m, t in enumerate(c.trees)]
+
+
 def fit_chains(frame: DataFrame, y: str, cont: list[str], cat: list[str], design: Design, keys: tuple[str, ...] = ("chain",), probit: bool = False, trees: int = 200, draws: int = 1000, burn: int = 1000, thin: int = 1, sparse: bool = False, seed: int = 1, cells: bool = False, trace: bool = False, print_every: int = 0) -> DataFrame:
     """Fits one chain per group of ``keys``; groups run side by side, and each has to fit in a task.
 
@@ -334,7 +384,7 @@ def fit_chains(frame: DataFrame, y: str, cont: list[str], cat: list[str], design
     if cells and any(c is None for c in design.cutpoints):
         raise ValueError("cells stand for rows in fits on discrete cutpoints only")
 
-    names = [*keys, "sweep", "draw", "sigma", "accepted", "theta", "counts", "axis_tried", "level_tried", "axis_refused", "level_refused"] if trace else [*keys, "draw", "tree", "text", "y_mean", "y_sd", "sigma", "counts"]
+    schema = _schema(frame, keys, trace)
 
     def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weight, within = None, 0.0
@@ -365,19 +415,97 @@ def fit_chains(frame: DataFrame, y: str, cont: list[str], cat: list[str], design
         else:
             spread = (float(pdf["high"].max()) - float(pdf["low"].min())) / sd if cells else float(std.max() - std.min())
             prior.tau = spread / (4 * trees**0.5)
-        own = seed + int(pd.util.hash_array(np.array(["|".join(map(str, key))], object))[0] % (1 << 31))
         # Draws leave the task one by one, so that none waits for the last.
-        for sweep, (draw, c) in enumerate(run_chain(pdf, y, cont, cat, design, prior, probit, draws, burn, thin, own, weight, within, print_every)):
-            if trace:
-                rows = [(*key, sweep, draw, c.sigma * sd, c.accepted, c.theta.tolist(), c.counts.tolist(), *c.tried.tolist(), *c.refused.tolist())]
-                yield pd.DataFrame(rows, columns=names).astype({"draw": "Int32"})
-            elif draw is not None:
-                yield pd.DataFrame([(*key, draw, m, write_tree(t), mean, sd, c.sigma * sd, c.counts.tolist()) for m, t in enumerate(c.trees)], columns=names)
-
-    kinds = ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keys)
-    if trace:
-        return frame.groupBy(*keys).applyInPandas(run, f"{kinds}, sweep int, draw int, sigma double, accepted int, theta array<double>, counts array<long>, axis_tried int, level_tried int, axis_refused int, level_refused int")
-    return frame.groupBy(*keys).applyInPandas(run, f"{kinds}, draw int, tree int, text string, y_mean double, y_sd double, sigma double, counts array<long>")
+        for sweep, (draw, c) in enumerate(run_chain(pdf, y, cont, cat, design, prior, probit, draws, burn, thin, _seed(seed, key), weight, within, print_every)):
+            if rows := _report(key, sweep, draw, c, mean, sd, trace):
+                out = pd.DataFrame(rows, columns=[*keys, *(TRACE if trace else FITS)])
+                yield out.astype({"draw": "Int32"}) if trace else out
+
+    return frame.groupBy(*keys).applyInPandas(run, schema)
+
+
+def fit_passes(frame: DataFrame, y: str, cont: list[str], cat: list[str], design: Design, keys: tuple[str, ...] = ("chain",), probit: bool = False, trees: int = 200, draws: int = 1000, burn: int = 1000, thin: int = 1, sparse: bool = False, seed: int = 1, trace: bool = False) -> DataFrame:
+    """The result of ``fit_chains`` for chains whose rows no task holds; it runs at once, and is for few trees.
+
+    The trees are on the driver and the rows stay where they are. A sweep's proposals are drawn before it; the cuts in
+    use and proposed, and the levels, part the rows into boxes that no rule divides, so the boxes' counts and sums, one
+    aggregate over all rows, are all that the sweep depends on. If predictors repeat, rows of equal ones are summed once
+    before and the passes go over these sums. Boxes times trees are at most BOXES, else it is refused.
+    Chains are the same as those of single rows but for the order of random numbers and the rounding of sums."""
+    schema, prior, value = _schema(frame, keys, trace), Prior(trees=trees, sparse=sparse), F.col(y).cast("double")
+    missing = [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in (y, *cont, *cat)]
+    # Bins have -0.0 below 0.0, rules do not.
+    rows = frame.select(*keys, *(F.col(c).cast("int").alias(f"_z{i}") for i, c in enumerate(cat)), *((F.col(c).cast("double") + F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(cont)), value.alias("_y"), F.lit(1).cast("long").alias("_k"))
+    own_cell = [c for c in rows.columns if c not in ("_y", "_k")]
+    wide = [F.count_if(F.abs(F.col(c)) > 1).alias(f"_w{i}") for i, c in enumerate(cont)]
+    first = frame.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.count_if(m).alias(f"_m{i}") for i, m in enumerate(missing)), F.count_if(~value.isin(0.0, 1.0)).alias("_other"), F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"), F.min(value).alias("_low"), F.max(value).alias("_high"), F.approx_count_distinct(F.xxhash64(*keys, *cont, *cat)).alias("_cells"), *wide)
+    chains: dict[tuple, tuple[Chain, float, float]] = {}
+    read = first.collect()  # a row per chain
+    for r in read:
+        if any(r[f"_m{i}"] for i in range(len(missing))):
+            raise ValueError("the response or predictors hold missing values")
+        if probit and r["_other"]:
+            raise ValueError("a binary response holds 0 and 1 alone")
+        for v, cuts in enumerate(design.cutpoints):
+            if cuts is None and r[f"_w{v}"]:
+                log.warning("continuous predictor %d leaves [-1, 1], where its cuts fall; see encode.rescale", v)
+        key, n, (mean, sd) = tuple(r[k] for k in keys), float(r["_n"]), (0.0, 1.0) if probit else (r["_mean"], r["_sd"])
+        own = replace(prior)
+        if probit:
+            own.tau, own.mu0 = trees**-0.5, NormalDist().inv_cdf(min(max(r["_mean"], 1e-6), 1 - 1e-6)) / trees
+        else:
+            own.tau = (r["_high"] - r["_low"]) / sd / (4 * trees**0.5)
+        c = Chain(np.zeros((0, len(cont))), np.zeros((0, len(cat)), int), np.zeros(0), design, own, probit, _seed(seed, key), np.zeros(0))
+        c.total, c.size = n, [np.full(1, n) for _ in range(trees)]
+        chains[key] = c, mean, sd
+    if sum(r["_n"] for r in read) > REPEATED * sum(r["_cells"] for r in read):
+        rows = durable(rows.groupBy(*own_cell).agg(F.sum("_y").alias("_y"), F.sum("_k").alias("_k")))
+    out: list[tuple] = []
+    for sweep in range(1 + burn + (draws - 1) * thin):
+        proposed = {key: [c.propose(m) for m in range(trees)] for key, (c, _, _) in chains.items()}
+        rules = [r for key, (c, _, _) in chains.items() for r in (*(r for t in c.rules for r in t.rules.values()), *(r for _, r in proposed[key] if r is not None))]
+        boxes = _boxes(rows, keys, len(cat), [sorted({r.cut + 0.0 for r in rules if not r.is_cat and r.var == v}) for v in range(len(cont))], max(1, BOXES // trees), len(chains) * math.prod(design.levels))
+        for key, some in boxes.groupby(list(keys), sort=False):
+            c, mean, sd = chains[tuple(key)]
+            weight = some["_n"].to_numpy(float)
+            m = (some["_s"].to_numpy() / weight - mean) / sd
+            within = 0.0 if probit else max(0.0, c.total - 1 - float(weight @ (m * m)))  # squares of standardised responses add to n - 1
+            c.take(some[[f"_x{i}" for i in range(len(cont))]].to_numpy(float), some[[f"_z{i}" for i in range(len(cat))]].to_numpy(int), m, weight, within)
+            c.step(proposed[tuple(key)])
+            out += _report(key, sweep, (sweep - burn) // thin if sweep >= burn and (sweep - burn) % thin == 0 else None, c, mean, sd, trace)
+        if (sweep + 1) % COLLECT_EVERY == 0:
+            frame.sparkSession.sparkContext._jvm.System.gc()
+    return frame.sparkSession.createDataFrame(out, schema)
+
+
+def _boxes(rows: DataFrame, keys: tuple[str, ...], n_cat: int, cuts: list[list[float]], most: int, groups: int) -> pd.DataFrame:
+    """(keys, levels, x, _n, _s): counts and sums of the rows of each box between ``cuts``, with a point of the box."""
+    used = [v for v, c in enumerate(cuts) if c]
+    if used:
+        rows = Bucketizer(inputCols=[f"_x{v}" for v in used], outputCols=[f"_b{v}" for v in used], splitsArray=[[-math.inf, *cuts[v], math.inf] for v in used]).transform(rows)
+    codes: list[list[int]] = [[]]  # predictors whose bins are one number, which a double holds exactly
+    for v in used:
+        if math.prod(len(cuts[w]) + 1 for w in (*codes[-1], v)) > 1 << 52:
+            codes.append([])
+        codes[-1].append(v)
+    places = []
+    for i, vs in enumerate(codes):
+        code = F.lit(0.0)
+        for v in vs:
+            code = code * float(len(cuts[v]) + 1) + F.col(f"_b{v}")
+        places.append(code.cast("long").alias(f"_c{i}"))
+    names = [*keys, *(f"_z{i}" for i in range(n_cat)), *(f"_c{i}" for i in range(len(codes)))]
+    summed = rows.select(*names[: len(keys) + n_cat], *places, "_y", "_k").groupBy(*names).agg(F.sum("_k").alias("_n"), F.sum("_y").alias("_s"))
+    sure = groups * math.prod(len(c) + 1 for c in cuts) <= most
+    got = (summed if sure else summed.limit(most + 1)).toPandas().sort_values(names, ignore_index=True)
+    if len(got) > most:
+        raise ValueError(f"the rules part the rows into more than {most} boxes; a fit by passes is for fewer trees or predictors")
+    for i, vs in enumerate(codes):
+        code = got[f"_c{i}"].to_numpy()
+        for v in reversed(vs):
+            code, at = np.divmod(code, len(cuts[v]) + 1)
+            got[f"_x{v}"] = np.array([np.nextafter(cuts[v][0], -np.inf), *cuts[v]])[at]
+    return got.assign(**{f"_x{v}": 0.0 for v, c in enumerate(cuts) if not c})
 
 
 def predict_draws(fits: DataFrame, rows: DataFrame, row_id: str, cont: list[str], cat: list[str], keys: tuple[str, ...] = ("chain",), mean_only: bool = False, probit: bool = False, own: bool = False) -> DataFrame:

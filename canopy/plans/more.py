@@ -550,7 +550,7 @@ def network_probit_fit(spark, sf):
 def sparse_fit(spark, sf):
     """With the sparse prior, does the one predictor that matters of five get most of the weight?"""
     f = _t(spark, sf, "lineitem").selectExpr("l_discount * 20 - 1 AS a", "l_tax * 25 - 1 AS b", "l_quantity / 25 - 1 AS c", "l_extendedprice / 200000 AS d", "(l_linenumber - 4) / 3 AS e", "l_quantity / 25 AS y", "0 AS chain")
-    trace = sampler.fit_chains(f, "y", list("abcde"), [], sampler.Design([None] * 5), sparse=True, trees=10, draws=40, burn=80, trace=True)
+    trace = sampler.fit_passes(f, "y", list("abcde"), [], sampler.Design([None] * 5), sparse=True, trees=10, draws=40, burn=80, trace=True)
     return summary.kept_draws(trace.drop("draw"), 80).agg((F.avg(F.get("theta", F.lit(2))) > 0.6).alias("close")).select(F.lit("sparse").alias("fit"), "close")
 
 
