@@ -497,7 +497,7 @@ def _boxes(rows: DataFrame, keys: tuple[str, ...], n_cat: int, cuts: list[list[f
     names = [*keys, *(f"_z{i}" for i in range(n_cat)), *(f"_c{i}" for i in range(len(codes)))]
     summed = rows.select(*names[: len(keys) + n_cat], *places, "_y", "_k").groupBy(*names).agg(F.sum("_k").alias("_n"), F.sum("_y").alias("_s"))
     sure = groups * math.prod(len(c) + 1 for c in cuts) <= most
-    got = (summed if sure else summed.limit(most + 1)).toPandas().sort_values(names, ignore_index=True)
+    got = (summed if sure else summed.limit(most + 1)).toArrow().to_pandas().sort_values(names, ignore_index=True)
     if len(got) > most:
         raise ValueError(f"the rules part the rows into more than {most} boxes; a fit by passes is for fewer trees or predictors")
     for i, vs in enumerate(codes):
